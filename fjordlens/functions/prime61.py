@@ -87,45 +87,74 @@ def value(f: list[int], x: int) -> int:
     return out
 
 
-def power_mod(base: list[int], e: int, f: list[int]) -> list[int]:
-    out = [1]
-    for bit in bin(e)[2:]:
-        out = divide(mul(out, out), f)[1]
-        if bit == "1":
-            out = divide(mul(out, base), f)[1]
-    return out
+class Modulus:
+    """Multiplication modulo a monic f, on polynomials packed into one int, 17 bytes a coefficient: room for sums of 2^14 products."""
+
+    def __init__(self, f: list[int]):
+        self.d = len(f) - 1
+        row = [-c % P for c in f[:-1]]
+        self.rows = []  # x^d, x^(d+1), ... mod f, packed
+        for _ in range(self.d):
+            self.rows.append(pack(row))
+            top = row[-1]
+            low = [0, *row[:-1]]
+            row = [(a - top * c) % P for a, c in zip(low, f)]
+
+    def square(self, g: list[int]) -> list[int]:
+        wide = unpack((x := pack(g)) * x, 2 * self.d)
+        out = pack(wide[: self.d])
+        for c, r in zip(wide[self.d :], self.rows):
+            if c:
+                out += c * r
+        return unpack(out, self.d)
+
+    def shifted(self, g: list[int], r: int) -> list[int]:
+        """g * (x + r)."""
+        out = pack([0, *g[:-1]]) + r * pack(g) + g[-1] * self.rows[0]
+        return unpack(out, self.d)
+
+    def power(self, r: int, e: int) -> list[int]:
+        """(x + r)^e, without leading zeros."""
+        out = [r % P, 1] + [0] * (self.d - 2)
+        for bit in bin(e)[3:]:
+            out = self.square(out)
+            if bit == "1":
+                out = self.shifted(out, r)
+        return trim(out)
+
+
+def pack(f: list[int]) -> int:
+    return int.from_bytes(b"".join([c.to_bytes(17, "little") for c in f]), "little")
+
+
+def unpack(x: int, n: int) -> list[int]:
+    b = x.to_bytes(17 * n + 17, "little")
+    return [int.from_bytes(b[i : i + 17], "little") % P for i in range(0, 17 * n, 17)]
 
 
 def roots(f: list[int]) -> list[int]:
-    """The distinct roots of f in the field; deterministic for a given f."""
+    """The distinct roots of f in the field, deterministic for a given f; may lack some if f has other factors."""
     f = monic(f)
-    if len(f) == 2:
-        return [-f[0] % P]
-    if len(f) == 3 and (found := _quadratic(f)) is not None:
-        return found
-    xp = power_mod([0, 1], P, f)
-    xp = xp + [0] * (2 - len(xp))
-    xp[1] = (xp[1] - 1) % P
-    g = gcd(f, trim(xp))
-    out, todo, rng = [], [g], random.Random(f[0])
+    slope = trim([i * c % P for i, c in enumerate(f)][1:])
+    twice = gcd(f, slope) if slope else [1]
+    if len(twice) > 1:
+        f = monic(divide(f, twice)[0])
+    out, todo, rng = [], [(f, 0)], random.Random(f[0])
     while todo:
-        g = todo.pop()
-        if len(g) < 2:
-            continue
+        g, tries = todo.pop()
         if len(g) == 2:
             out.append(-g[0] % P)
         elif len(g) == 3:
-            out += _quadratic(g) or []
-        else:
-            h = power_mod([rng.randrange(P), 1], (P - 1) // 2, g)
-            h = h or [0]
+            out += _quadratic(g)
+        elif len(g) > 3 and tries < 40:
+            h = Modulus(g).power(rng.randrange(P), (P - 1) // 2) or [0]
             h[0] = (h[0] - 1) % P
-            part = gcd(g, trim(h)) if trim(h[:]) else g
-            todo += [part, monic(divide(g, part)[0])] if 1 < len(part) < len(g) else [g]
+            part = gcd(g, h) if trim(h) else g
+            todo += [(part, 0), (monic(divide(g, part)[0]), 0)] if 1 < len(part) < len(g) else [(g, tries + 1)]
     return sorted(out)
 
 
-def _quadratic(f: list[int]) -> list[int] | None:
+def _quadratic(f: list[int]) -> list[int]:
     c, b, _ = f
     half = b * pow(2, -1, P) % P
     d = (half * half - c) % P
