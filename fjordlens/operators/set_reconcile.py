@@ -195,7 +195,9 @@ def _differing(a, b, more: int, points: field.Points, every: list[int], bound: i
 
 def _round(hashed: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
     parts = hashed.mapInArrow(lambda it: sketch(it, bound), SKETCH)
-    laid = parts.repartition("bucket").sortWithinPartitions("bucket")
+    # a fixed number of tasks: there are few bytes but much to solve, so they must not be coalesced by size
+    tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = parts.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return scratch.cut(laid.mapInArrow(lambda it: merge(it, bound), FOUND))
 
 
@@ -235,7 +237,7 @@ def differences(
     key: str,
     fields: Sequence[str],
     scratch: Scratch,
-    rows_per_bucket: int = 256,
+    rows_per_bucket: int = 128,
 ) -> DataFrame:
     """(group, key, difference): ``only_main``, ``only_copy`` or the name of a field that differs.
 

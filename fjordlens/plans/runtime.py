@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_fjordlens_sent", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(at)
+    context._fjordlens_sent = True
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
