@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordlens.llm import heavy_hitters, mixing, quantile_sketch, stable_sample
+from fjordlens.llm import canonical_text, contamination, heavy_hitters, mixing, quantile_sketch, stable_sample
 from fjordlens.plans.runtime import Scratch
 from fjordlens.sources.tables import table
 
@@ -89,6 +89,38 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantile_sketch.percentiles(quantile_sketch.sketches(wall_times(spark, d), keys, "seconds"), keys, (0.5,))
 
 
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "lexical_entry")
+    looks = canonical_text.Looks(canonical_text.heads(spark))
+    counts = canonical_text.train(entries, "Value", looks)
+    return canonical_text.canonical(
+        entries.select("RowId", "Qid", "Lang", "Value"), {"Lang": "c_Lang", "Value": "c_Value"}, looks, counts
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entries of one concept that look the same but are not written the same."""
+    return canonical_text.lookalike_pairs(_canonical(spark, d), "RowId", "Qid", ["Lang", "Value"], Scratch(spark, "p7"))
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every lexical entry with the consistent form of its language code and text."""
+    return _canonical(spark, d).select("RowId", F.col("c_Lang").alias("lang"), F.col("c_Value").alias("value"))
+
+
+def p8_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and passage that share a stretch as long as 13 words with at most two edits."""
+    found = contamination.regions(
+        table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "passage"
+    )
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and passage of which it holds at least 13 consecutive words."""
+    return p8_regions(spark, d).where("run >= 13").select("doc_id", "item_id")
+
+
 def _counted(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(mixing.with_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]))
 
@@ -115,5 +147,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p6_percentiles, p6_daily, p9_found, p9_mix, p9_shares)
+    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p6_percentiles, p6_daily, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares)
 }
