@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordlens.llm import canonical_text, contamination, heavy_hitters, mixing, quantile_sketch, stable_sample
+from fjordlens.llm import canonical_text, contamination, heavy_hitters, mixing, quantile_sketch, stable_sample, text_quality
 from fjordlens.plans.runtime import Scratch
 from fjordlens.sources.tables import table
 
@@ -145,7 +145,30 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(scratch.cut(mixing.mixed(counted, rated, "doc_id")), rated)
 
 
+LEAST_SCORE = 0.3  # candidates: more extreme than most documents; the check on running sentences decides
+
+
+def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "p10")
+    docs = table(spark, d, "documents").withColumn("lang", text_quality.language("lang"))
+    stats = scratch.cut(text_quality.with_statistics(docs, "text", ["doc_id", "lang"]))
+    return stats, text_quality.scored(stats, "doc_id", scratch)
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of each document and its outlier score."""
+    stats, scores = _quality(spark, d)
+    return stats.join(scores, "doc_id", "left")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are no running text: of an outlying score, and with less than half of their words in sentences."""
+    stats, scores = _quality(spark, d)
+    odd = scores.where(F.col("score") >= LEAST_SCORE)
+    return stats.where("sentence_ratio < 0.5").select("doc_id").join(odd.select("doc_id"), "doc_id").distinct()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p6_percentiles, p6_daily, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares)
+    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p6_percentiles, p6_daily, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares, p10_found, p10_stats)
 }
