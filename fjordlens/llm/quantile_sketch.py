@@ -2,8 +2,8 @@
 
 Method: dyadic Count-sketches. A double becomes an integer of 24 bits that keeps its order (sign, exponent, 12 bits of
 the fraction: a relative error of at most 2^-13). For every binary resolution from the finest up, a signed Count-sketch of
-``ROWS`` x ``WIDTH`` counters holds how often each prefix occurs; the resolution with no more prefixes than counters is
-held exactly, and stands for all coarser ones. Sketches are merged by addition, and deleting is adding with weight -1. A
+``ROWS`` x ``WIDTH`` counters holds how often each prefix occurs; the resolution of 2^16 prefixes (few of them occupied) is
+held exactly, and stands for all coarser ones, where counts are large and a Count-sketch would err most. Sketches are merged by addition, and deleting is adding with weight -1. A
 rank is inverted by descending: at each resolution the lower half's count says on which side the rank lies.
 
 A group of few distinct values is kept as (value, weight) pairs, which is exact and smaller. Sketches of tasks are added in
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BITS, ROWS, WIDTH_BITS = 24, 5, 10
 WIDTH = 1 << WIDTH_BITS
-EXACT = 12  # the 2^12 longest prefixes that are held exactly; finer resolutions are sketched
+EXACT = 16  # prefixes of 16 bits are held exactly; the finer resolutions are sketched
 LEVELS = BITS - EXACT
 CELLS = (1 << EXACT) + LEVELS * ROWS * WIDTH
 PAIRS = 4096  # distinct values up to which a group stays exact
