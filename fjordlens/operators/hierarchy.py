@@ -12,6 +12,8 @@ itself is a closed set of one; an empty table gives empty results; ties between
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +29,40 @@ def links(df: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
+FEW = 20_000  # node ids up to which a set is broadcast
+
+
 def ancestor_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, ancestor, steps): the fewest upward links, 1 or more; (x, x) says that x reaches itself.
 
-    ``edges`` is (node, parent), distinct. The rounds are the logarithm of the longest distance; every round
-    writes the pairs so far once and shuffles them by (node, ancestor), which no single key dominates. The join on
-    the middle node is left to AQE, which splits a parent that holds many pairs.
+    ``edges`` is (node, parent), distinct. The rounds are the logarithm of the longest distance; a round writes the
+    pairs so far once and shuffles them by (node, ancestor), which no single key dominates. The join on the middle
+    node is left to AQE, which splits a node that holds many pairs. Once only a few nodes have anything k links away
+    (long chains), all pairs of other nodes are final: they are set aside, once, and the rounds go on with the rest.
     """
-    pairs = scratch.cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
-    k = 1
+    work = scratch.cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    done, k = [], 1
     while True:
-        far = pairs.where(F.col("steps") == k).select("node", F.col("ancestor").alias("mid"))
-        near = pairs.select(F.col("node").alias("mid"), "ancestor", F.col("steps").alias("more"))
+        far = work.where(F.col("steps") == k).select("node", F.col("ancestor").alias("mid"))
+        near = work.select(F.col("node").alias("mid"), "ancestor", F.col("steps").alias("more"))
         longer = far.join(near, "mid").select("node", "ancestor", (F.col("more") + k).cast("int").alias("steps"))
         grown = scratch.cut(
-            pairs.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").cast("int").alias("steps"))
+            work.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").cast("int").alias("steps"))
         )
-        scratch.drop(pairs)
-        pairs, k = grown, 2 * k
-        if pairs.where(F.col("steps") == k).isEmpty():  # nothing lies exactly k apart, so nothing further
-            return pairs
+        scratch.drop(work)
+        work, k = grown, 2 * k
+        far = work.where(F.col("steps") == k)
+        n = far.count()
+        if not n:  # nothing lies exactly k apart, so nothing further
+            return reduce(DataFrame.unionByName, [*done, work])
+        if not done and 20 * n < work.count():
+            # a node with something 2k away, and the nodes k away from it, have something k away or are that themselves
+            alive = scratch.cut(far.select("node").union(far.select("ancestor")).distinct())
+            alive = F.broadcast(alive) if alive.count() <= FEW else alive
+            done.append(scratch.cut(work.join(alive, "node", "left_anti").select("node", "ancestor", "steps")))
+            rest = scratch.cut(work.join(alive, "node", "left_semi").select("node", "ancestor", "steps"))
+            scratch.drop(work)
+            work = rest
 
 
 def closed_sets(pairs: DataFrame) -> DataFrame:
