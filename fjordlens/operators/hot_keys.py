@@ -41,6 +41,27 @@ def key_stats(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def key_percentiles(weighted: DataFrame, keys: Sequence[str], at: Sequence[float], scratch: Scratch) -> DataFrame:
     """One column ``p<100 q>`` per q of ``at``: the smallest value with a running weight of at least q of the key's."""
+    wanted = {f"p{math.floor(q * 100)}": (lambda n, q=q: F.ceil(n * F.lit(q))) for q in at}
+    return order_statistics(weighted, keys, wanted, scratch)
+
+
+def linear_percentiles(weighted: DataFrame, keys: Sequence[str], at: dict[str, float], scratch: Scratch) -> DataFrame:
+    """(keys..., n, name...): percentiles interpolated between the values around rank (n - 1) q, exact at any size."""
+    wanted = {}
+    for name, q in at.items():
+        wanted[f"{name}_low"] = lambda n, q=q: F.floor((n - 1) * F.lit(q)) + 1
+        wanted[f"{name}_high"] = lambda n, q=q: F.ceil((n - 1) * F.lit(q)) + 1
+    found = order_statistics(weighted, keys, wanted, scratch)
+    out = []
+    for name, q in at.items():
+        part = (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        out.append((low + (high - low) * part).alias(name))
+    return found.select(*keys, "n", *out)
+
+
+def order_statistics(weighted: DataFrame, keys: Sequence[str], wanted: dict, scratch: Scratch) -> DataFrame:
+    """(keys..., n, name...): the value at the rank (from 1) that each function of ``wanted`` gives for a key's n."""
     order = [*keys, "value"]
     laid = scratch.cut(
         weighted.where(F.col("value").isNotNull()).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
@@ -58,11 +79,8 @@ def key_percentiles(weighted: DataFrame, keys: Sequence[str], at: Sequence[float
     joined = laid.join(parts, same).drop(*ends.values())
     run = Window.partitionBy(*keys, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = joined.withColumn("_run", F.sum("weight").over(run) + F.col("_before"))
-    hit = [
-        F.min(F.when(F.col("_run") >= F.ceil(F.col("_all") * F.lit(q)), F.col("value"))).alias(f"p{math.floor(q * 100)}")
-        for q in at
-    ]
-    return ranked.groupBy(*keys).agg(*hit)
+    hit = [F.min(F.when(F.col("_run") >= rank(F.col("_all")), F.col("value"))).alias(name) for name, rank in wanted.items()]
+    return ranked.groupBy(*keys).agg(F.max("_all").alias("n"), *hit)
 
 
 def heavy_keys(weighted: DataFrame, keys: Sequence[str], share: float, total: int) -> DataFrame:

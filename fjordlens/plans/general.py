@@ -102,7 +102,7 @@ def p5_targets(spark: SparkSession, d: str) -> DataFrame:
     keys = ["relation", "TargetQid"]
     stats = hot_keys.key_stats(weighted, keys)
     return (
-        stats.join(hot_keys.key_percentiles(weighted, keys, (0.25, 0.5, 0.75), scratch), keys)
+        stats.join(hot_keys.key_percentiles(weighted, keys, (0.25, 0.5, 0.75), scratch).drop("n"), keys)
         .withColumnsRenamed({"TargetQid": "target_qid", "rows": "links", "distinct_values": "subjects", "mode": "top_subject", "mode_rows": "top_links"})
     )
 
