@@ -1,0 +1 @@
+"""All queries are batch queries; no operator keeps streaming state."""
