@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,16 +188,19 @@ def normalizer(looks: Looks, counts: dict[str, int]):
 def canonical(df: DataFrame, columns: dict[str, str], looks: Looks, counts: dict[str, int]) -> DataFrame:
     """``df`` with a canonical column for each text column: {column: new name}."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` string" for n in columns.values())
+    names = df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = normalizer(looks, counts)
         for b in batches:
-            for c, n in columns.items():
-                forms = {t: form(t) for t in b[c].dropna().unique()}
-                b[n] = b[c].map(forms).astype(object).where(b[c].notna(), None)
-            yield b
-
-    return df.mapInPandas(run, schema)
+            added = []
+            for c in columns:
+                coded = b.column(names.index(c)).dictionary_encode()  # a text that is repeated in a batch is done once
+                forms = pa.array([form(t) for t in coded.dictionary.to_pylist()], pa.string())
+                added.append(pa.DictionaryArray.from_arrays(coded.indices, forms).dictionary_decode())
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*names, *columns.values()])
+
+    return df.mapInArrow(run, schema)
 
 
 def lookalike_pairs(df: DataFrame, row: str, within: str, columns: list[str], scratch) -> DataFrame:

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ BLOCK_CHARS = 4_000_000  # characters of passages in one index: about 100 MB in
 BATCH_CHARS = 2_000_000
 TABLE_BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+FIELDS = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("run", pa.int32())])
 REGIONS = "doc bigint, item bigint, start bigint, stop bigint, score double, run int"
 
 
@@ -156,11 +157,11 @@ def _longest_run(doc: list[str], index: Index, item: int) -> int:
     return best + w - 1 if best else 0
 
 
-def scan(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
-    held: list[tuple[int, list[str]]] = []
+def scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int | None, list[str]]] = []
     size = 0
     for b in batches:
-        for doc, text in zip(b["doc"], b["text"]):
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text:
                 held.append((doc, words(text)))
                 size += len(text)
@@ -170,16 +171,20 @@ def scan(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame
     yield _scan(held, index)
 
 
-def _scan(docs: list[tuple[int, list[str]]], index: Index) -> pd.DataFrame:
-    columns = ["doc", "item", "start", "stop", "score", "run"]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS)], schema=FIELDS)
+
+
+def _scan(docs: list[tuple[int | None, list[str]]], index: Index) -> pa.RecordBatch:
     texts = [" ".join(w) for _, w in docs]
     if not texts or not index.ids:
-        return pd.DataFrame([], columns=columns)
+        return _batch([])
     codes = _codes("\n".join(texts))
     starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     at, item, pos = index.hits(_grams(codes, index.q))
     if not len(at):
-        return pd.DataFrame([], columns=columns)
+        return _batch([])
     doc = np.searchsorted(starts, at, side="right") - 1
     diagonal = at - starts[doc] - pos
     reach = 2 * (index.edits + 1)  # a stretch with up to k edits lies within k diagonals, so within one of two shifted bands
@@ -211,7 +216,7 @@ def _scan(docs: list[tuple[int, list[str]]], index: Index) -> pd.DataFrame:
             if score >= index.m[i] - index.edits * (index.q + 1) and score > found.get((d, i), (0, 0, 0))[0]:
                 found[d, i] = (score, start + a, start + z)
     rows = [(docs[d][0], index.ids[i], a, z, float(s), _longest_run(docs[d][1], index, i)) for (d, i), (s, a, z) in found.items()]
-    return pd.DataFrame(rows, columns=columns)
+    return _batch(rows)
 
 
 def _diagonal(doc: np.ndarray, passage: np.ndarray, cost: int) -> tuple[int, int, int]:
@@ -238,7 +243,7 @@ def regions(
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(Index(block, least_words, edits, q))  # bounded by BLOCK_CHARS
-        return corpus.mapInPandas(lambda it: scan(it, sent.value), REGIONS)
+        return corpus.mapInArrow(lambda it: scan(it, sent.value), REGIONS)
 
     for i, p in known.toLocalIterator():
         block.append((i, p))

@@ -31,42 +31,45 @@ def shrink(counts: pd.Series, k: int) -> tuple[pd.Series, int]:
     return counts[counts > 0], off
 
 
-def _row(slot: int, counts: pd.Series, lost: int) -> pd.DataFrame:
-    # the null item carries what was lost, also when no counter is left
-    items = pd.Series([*counts.index, None], dtype=object)
-    return pd.DataFrame({"slot": slot, "item": items, "n": [*counts.to_numpy("int64"), 0], "lost": [0] * len(counts) + [lost]})
+def _row(slot: int, counts: pd.Series, lost: int, filler) -> pd.DataFrame:
+    # the last row carries what was lost, also when no counter is left; its item is only a filler, since a null among
+    # integers would turn them into doubles
+    items = pd.Series([*counts.index, filler], dtype="int64" if filler == 0 else object)
+    return pd.DataFrame({"slot": slot, "held": [True] * len(counts) + [False], "item": items, "n": [*counts.to_numpy("int64"), 0], "lost": [0] * len(counts) + [lost]})
 
 
-def summarize(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def summarize(batches: Iterator[pd.DataFrame], k: int, filler) -> Iterator[pd.DataFrame]:
     counts, lost = None, 0
     for b in batches:
         new = b["item"].value_counts()
         counts, off = shrink(new if counts is None else counts.add(new, fill_value=0).astype("int64"), k)
         lost += off
     if counts is not None:
-        yield _row(TaskContext.get().partitionId(), counts, lost)
+        yield _row(TaskContext.get().partitionId(), counts, lost, filler)
 
 
-def merge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def merge(rows: pd.DataFrame, k: int, filler) -> pd.DataFrame:
     slot = int(rows["slot"].iloc[0]) // FAN
-    held = rows["item"].notna()
-    lost = int(rows.loc[~held, "lost"].sum())
+    held = rows["held"]
     counts, off = shrink(rows[held].groupby("item")["n"].sum(), k)
-    return _row(slot, counts, lost + off)
+    return _row(slot, counts, int(rows.loc[~held, "lost"].sum()) + off, filler)
 
 
 def summary(df: DataFrame, column: str, k: int) -> DataFrame:
-    """(item, n, lost): one merged summary of at most k items; true rows lie in [n, n + lost]."""
+    """(item, n, lost): one merged summary of at most k items, and a row without item; true rows lie in [n, n + the
+    lost of that row]. Values that are no integers are counted as text."""
     kind = dict(df.dtypes)[column]
-    schema = f"slot int, item {kind}, n bigint, lost bigint"
-    one = df.select(F.col(column).alias("item")).where(F.col("item").isNotNull())
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    inner, filler = ("bigint", 0) if whole else ("string", "")
+    schema = f"slot int, held boolean, item {inner}, n bigint, lost bigint"
+    one = df.select(F.col(column).cast(inner).alias("item")).where(F.col("item").isNotNull())
     tasks = one.rdd.getNumPartitions()
-    out = one.mapInPandas(lambda it: summarize(it, k), schema)
+    out = one.mapInPandas(lambda it: summarize(it, k, filler), schema)
     while True:
-        out = out.groupBy(F.floor(F.col("slot") / FAN)).applyInPandas(lambda rows: merge(rows, k), schema)
+        out = out.groupBy(F.floor(F.col("slot") / FAN)).applyInPandas(lambda rows: merge(rows, k, filler), schema)
         tasks = -(-tasks // FAN)
         if tasks <= 1:
-            return out.select("item", "n", "lost")
+            return out.select(F.when(F.col("held"), F.col("item").cast(kind)).alias("item"), "n", "lost")
 
 
 def top(df: DataFrame, column: str, most: int, k: int = 1024) -> DataFrame:

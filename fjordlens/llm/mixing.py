@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +39,14 @@ def with_tokens(df: DataFrame, text: str, keep: list[str], path: str = VOCABULAR
     """The columns ``keep`` and ``tokens``, the tokens of the whole text."""
     kinds = dict(df.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
-        for b in batches:
-            texts = b.pop(text)
-            yield b.assign(tokens=[len(encode(t)) if t else 0 for t in texts])
+        for b in batches:  # the kept columns stay Arrow arrays, so their nulls and types do too
+            n = [len(encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*keep, "tokens"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens bigint"
-    return df.select(*keep, text).mapInPandas(run, schema)
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     have = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     share = F.coalesce("target_share", F.lit(0.0))
     wanted = share * F.lit(float(total))
-    return targets.join(have, "source", "left").select(
+    return targets.select("source", "target_share", "max_repeats").join(have, "source", "left").select(
         "source",
         share.alias("target_share"),
         "max_repeats",

@@ -159,9 +159,18 @@ class State:
         return 0.0 if self.cells is None else rank_error(self.cells) / max(1, self.total())
 
 
-def _schema(df: DataFrame, keys: Sequence[str]) -> str:
-    kinds = dict(df.dtypes)
-    return "slot int, " + "".join(f"`{k}` {kinds[k]}, " for k in keys) + "sketched boolean, payload binary"
+def _schema(keys: Sequence[str]) -> str:
+    return "slot int, " + "".join(f"`{k}` string, " for k in keys) + "sketched boolean, payload binary"
+
+
+def _texts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys travel to pandas as text: a null among integers would turn them into doubles."""
+    return df.withColumns({k: F.col(k).cast("string") for k in keys})
+
+
+def _typed(df: DataFrame, keys: Sequence[str], like: DataFrame) -> DataFrame:
+    kinds = dict(like.dtypes)
+    return df.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
 
 
 def _dump(slot: int, keys: list[str], states: dict) -> pd.DataFrame:
@@ -208,15 +217,15 @@ def sketches(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
     rows = df.select(
         *keys, F.col(value).cast("double").alias("_value"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight")
     ).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    schema = _schema(df, keys)
     tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    out = rows.coalesce(tasks).mapInPandas(lambda it: partial(it, keys), schema)
-    return add(out, keys, tasks)
+    out = _texts(rows, keys).coalesce(tasks).mapInPandas(lambda it: partial(it, keys), _schema(keys))
+    return _typed(add(out, keys, tasks), keys, df)
 
 
 def add(parts: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
     """Adds sketches of the same group whose slots are below ``slots``."""
-    keys, schema = list(keys), _schema(parts, keys)
+    keys, schema, like = list(keys), _schema(keys), parts
+    parts = _texts(parts, keys)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
@@ -226,13 +235,12 @@ def add(parts: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
         parts = parts.groupBy(*keys, F.floor(F.col("slot") / FAN)).applyInPandas(one, schema)
         slots = -(-slots // FAN)
         if slots <= 1:
-            return parts
+            return _typed(parts, keys, like)
 
 
 def percentiles(sketched: DataFrame, keys: Sequence[str], at: Sequence[float]) -> DataFrame:
     """(keys..., n, p<100 q>..., rank_error), rank_error as a share of n."""
     keys = list(keys)
-    kinds = dict(sketched.dtypes)
     names = [f"p{round(q * 100)}" for q in at]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,5 +253,5 @@ def percentiles(sketched: DataFrame, keys: Sequence[str], at: Sequence[float]) -
                     rows.append((*(r[k] for k in keys), n, *(s.percentile(q) for q in at), s.error()))
             yield pd.DataFrame(rows, columns=[*keys, "n", *names, "rank_error"])
 
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n bigint, " + "".join(f"{n} double, " for n in names) + "rank_error double"
-    return sketched.mapInPandas(read, schema)
+    schema = "".join(f"`{k}` string, " for k in keys) + "n bigint, " + "".join(f"{n} double, " for n in names) + "rank_error double"
+    return _typed(_texts(sketched, keys).mapInPandas(read, schema), keys, sketched)

@@ -19,7 +19,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -111,14 +110,15 @@ def with_statistics(df: DataFrame, text: str, keep: list[str], common: frozenset
     """The columns ``keep`` and one column for each of STATS."""
     kinds = dict(df.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = (None,) * len(STATS)
         for b in batches:
-            rows = [statistics(t, common) if t and t.strip() else nothing for t in b.pop(text)]
-            yield pd.concat([b, pd.DataFrame(rows, columns=list(STATS), index=b.index, dtype="float64")], axis=1)
+            rows = [statistics(t, common) if t and t.strip() else nothing for t in b.column(b.num_columns - 1).to_pylist()]
+            cols = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(STATS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*keep, *STATS])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + SCHEMA
-    return df.select(*keep, text).mapInPandas(run, schema)
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 def language(column: str) -> Column:
