@@ -243,6 +243,15 @@ def differences(
 
     ``group`` is the name of the table a row belongs to, ``key`` a bigint that is unique in it.
     """
+    # inner names, so that no field can clash with another column
+    named = dict(zip(["_group", "_key", *(f"_f{i}" for i in range(len(fields)))], [group, key, *fields]))
+    main, copy = (d.select(*(F.col(c).alias(n) for n, c in named.items())) for d in (main, copy))
+    out = _differences(main, copy, list(fields), scratch, rows_per_bucket)
+    return out.withColumnsRenamed({"_group": group, "_key": key})
+
+
+def _differences(main: DataFrame, copy: DataFrame, titles: list[str], scratch: Scratch, rows_per_bucket: int) -> DataFrame:
+    group, key, fields = "_group", "_key", [f"_f{i}" for i in range(len(titles))]
     columns = [group, key, *fields]
     shape = (
         main.groupBy(group)
@@ -278,7 +287,7 @@ def differences(
         b, F.col(f"a_{group}").eqNullSafe(F.col(f"b_{group}")) & F.col(f"a_{key}").eqNullSafe(F.col(f"b_{key}")), "full"
     )
     unlike = F.filter(
-        F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in fields)), lambda x: x.isNotNull()
+        F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(t)) for c, t in zip(fields, titles))), lambda x: x.isNotNull()
     )
     said = (
         F.when(F.col("in_b").isNull(), F.array(F.lit("only_main")))
