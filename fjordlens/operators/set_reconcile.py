@@ -11,10 +11,10 @@ counted against each other, which is exact. Last, the rows of the differing hash
 Work is one scan of both sides for the sketches and one for the fetch; what is shuffled is the sketches (or the bare
 hash where a bucket has fewer rows in a task than points) and the differing rows.
 
-Defined results: keys match with null equal to null; fields are compared exactly, null equal to null only; a row that is
-repeated in one side counts as often as it occurs for finding, and gives one report per field; a key that stands
-for several unlike rows on a side is compared with each row of the other side; empty tables give every row of the other
-side; further columns are ignored.
+Defined results: keys match with null equal to null; fields are compared exactly, null equal to null only; equal rows
+under one key count once; where a key stands for unlike rows on a side, those with an equal row on the other side are
+matched, and the rest is compared each with each, or reported as lacking if nothing is left on the other side; empty
+tables give every row of the other side; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -274,10 +274,11 @@ def _differences(main: DataFrame, copy: DataFrame, titles: list[str], scratch: S
     ]
     hashed = [d.select("bucket", "side", "hash") for d in sides]
     odd = scratch.cut(differing_hashes(hashed[0].unionByName(hashed[1]), scratch))
+    wanted = odd.select("bucket", "hash").distinct()
     few = odd.count() <= BROADCAST_ROWS
 
     def fetch(i: int) -> DataFrame:
-        wanted = odd.where(F.col("side") == i).select("bucket", "hash").distinct()
+        # of either side: a row that only occurs more often on one side is fetched from both, and then equal
         return sides[i].join(F.broadcast(wanted) if few else wanted, ["bucket", "hash"], "left_semi").select(*columns)
 
     a, b = fetch(0), fetch(1)
