@@ -23,7 +23,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,21 +150,21 @@ def train(df: DataFrame, column: str, looks: Looks) -> dict[str, int]:
     whatever the size of the corpus."""
     wanted = {c for r in looks.readings.values() for c in r.values()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         keep = {ord(c): c for c in wanted}
         for b in batches:
             texts: Counter = Counter()
-            for t, n in b["text"].value_counts().items():
+            for t, n in Counter(b.column(0).to_pylist()).items():
                 t = unicodedata.normalize("NFKC", t)
                 clean = " " + "".join(keep.get(o, " ") for o in map(ord, t)) + " "
                 texts[clean] += n
             for t, n in texts.items():
                 for a, c in zip(t, t[1:]):
                     seen[a + c] += n
-        yield pd.DataFrame({"pair": list(seen.keys()), "n": list(seen.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pair", "n"])
 
-    parts = df.select(F.col(column).alias("text")).where("text is not null").mapInPandas(run, "pair string, n bigint")
+    parts = df.select(F.col(column).alias("text")).where("text is not null").mapInArrow(run, "pair string, n bigint")
     return {r["pair"]: r["n"] for r in parts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
