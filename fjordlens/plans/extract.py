@@ -75,7 +75,7 @@ def parse_labels(spark: SparkSession, d: str) -> DataFrame:
 @query(_ALIASES)
 def parse_aliases(spark: SparkSession, d: str) -> DataFrame:
     """The aliases of each item."""
-    rows = entities.items(_lines(spark, d))
+    rows = _parsed_once(spark, d)
     return rows.select("qid", F.lit("en").alias("lang"), F.explode("alias_en").alias("alias")).unionByName(
         rows.select("qid", F.lit("nb").alias("lang"), F.explode("alias_nb").alias("alias"))
     )
@@ -90,7 +90,7 @@ def _claims(rows: DataFrame) -> DataFrame:
 @query(_CLAIMS)
 def parse_claims(spark: SparkSession, d: str) -> DataFrame:
     """The links of each item."""
-    return _claims(entities.items(_lines(spark, d)))
+    return _claims(_parsed_once(spark, d))
 
 
 @query(f"""
@@ -107,6 +107,11 @@ def scan_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _parsed_once(spark: SparkSession, d: str) -> DataFrame:
+    """The parsed items as a table: everything that is built from them reads it instead of the lines."""
+    return Scratch(spark, "items").cut(entities.items(_lines(spark, d)))
+
+
 def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """concept, lexical_entry, instance_of and subclass_of from items: the hash sample T1, the endpoints T2, and what is
     kept of each. Both passes over the source become one parsed table."""
@@ -138,7 +143,7 @@ SELECT coalesce(c.Qid, e.qid) AS Qid, coalesce({_HIT.replace('Qid', 'c.Qid')}, F
 FROM concept c FULL JOIN ({_ENDPOINTS}) e ON e.qid = c.Qid WHERE e.qid IS NOT NULL OR {_HIT.replace('Qid', 'c.Qid')}""")
 def build_concept(spark: SparkSession, d: str) -> DataFrame:
     """The concept relation built from entity lines."""
-    return build(entities.items(_lines(spark, d)))[0]
+    return build(_parsed_once(spark, d))[0]
 
 
 @query(f"""
@@ -148,7 +153,7 @@ UNION ALL SELECT qid, 'nb', 'label', label_nb FROM ({_LABELS}) l WHERE label_nb
 UNION ALL SELECT qid, lang, 'alias', alias FROM ({_ALIASES}) WHERE {_HIT}""")
 def build_lexical(spark: SparkSession, d: str) -> DataFrame:
     """The lexical relation built from entity lines: labels of all kept concepts, aliases of the sample."""
-    return build(entities.items(_lines(spark, d)))[1]
+    return build(_parsed_once(spark, d))[1]
 
 
 @query(f"""
@@ -156,6 +161,6 @@ SELECT 'instance_of' AS relation, qid AS subject, target FROM ({_CLAIMS}) WHERE
 UNION ALL SELECT 'subclass_of', qid, target FROM ({_CLAIMS}) WHERE property = 'P279'""")
 def build_edges(spark: SparkSession, d: str) -> DataFrame:
     """The link relations built from entity lines: instance-of of the sample, all of subclass-of."""
-    _, _, inst, sub = build(entities.items(_lines(spark, d)))
+    _, _, inst, sub = build(_parsed_once(spark, d))
     lay = lambda df, n: df.select(F.lit(n).alias("relation"), F.col("SubjectQid").alias("subject"), F.col("TargetQid").alias("target"))
     return lay(inst, "instance_of").unionByName(lay(sub, "subclass_of"))

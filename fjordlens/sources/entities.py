@@ -34,25 +34,38 @@ def identity(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, so that they are computed once a row however often they are used; a projection
+    would be merged into its users and parse the text again for each."""
+    made = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select("*", F.inline(made))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """(value, v, outcome, counted, qid)."""
     body = F.regexp_replace(F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r",$", "")
-    rows = raw.select("value", body.alias("body")).withColumn("is_object", F.col("body").startswith("{"))
-    rows = rows.withColumn("v", F.when(F.col("is_object"), F.try_parse_json("body")))
-    text_id = F.when(F.schema_of_variant(F.try_variant_get("v", "$.id", "variant")) == "STRING", F.try_variant_get("v", "$.id", "string"))
-    rows = rows.withColumn("id", text_id).withColumn("type", F.try_variant_get("v", "$.type", "string"))
-    has_missing = F.array_contains(F.json_object_keys("body"), "missing")
+    rows = _once(raw.select("value"), body=body)
+    is_object = F.col("body").startswith("{")
+    rows = _once(rows.select("value", is_object.alias("is_object"), F.when(is_object, F.col("body")).alias("body")), v=F.try_parse_json("body"))
+    raw_id = F.try_variant_get("v", "$.id", "variant")
+    rows = _once(
+        rows.select("value", "is_object", "v"),
+        id=F.when(F.schema_of_variant(raw_id) == "STRING", F.try_variant_get("v", "$.id", "string")),
+        type=F.try_variant_get("v", "$.type", "string"),
+        missing=F.try_variant_get("v", "$.missing", "variant").isNotNull(),
+    )
     qid = F.when((F.col("type") == "item") & F.col("id").rlike("^Q[1-9][0-9]*$"), F.expr("try_cast(substr(id, 2) as bigint)"))
+    rows = rows.withColumn("qid", qid)
     outcome = (
         F.when(~F.col("is_object"), "Ignore")
         .when(F.col("v").isNull(), "Malformed")
-        .when(has_missing, "Missing")
+        .when(F.col("missing"), "Missing")
         .when(F.col("id").isNull(), "Malformed")
         .when(F.col("qid").isNotNull(), "Item")
         .when((F.col("type") == "property") & F.col("id").rlike("^P[1-9][0-9]*$"), "NonItem")
         .otherwise("Malformed")
     )
-    rows = rows.withColumn("qid", qid).withColumn("outcome", outcome)
+    rows = rows.withColumn("outcome", outcome)
     counted = (F.col("outcome") == "Malformed") & (F.col("v").isNull() | F.col("id").isNotNull())
     return rows.select("value", "v", "outcome", counted.alias("counted"), "qid")
 
@@ -94,10 +107,11 @@ def targets(prop: str) -> Column:
 
 def items(raw: DataFrame) -> DataFrame:
     """(qid, label_en, label_nb, alias_en, alias_nb, p31, p279) of each item line."""
-    return parsed(raw).where("outcome = 'Item'").select(
-        "qid", label("en").alias("label_en"), label("nb").alias("label_nb"), aliases("en").alias("alias_en"),
-        aliases("nb").alias("alias_nb"), targets("P31").alias("p31"), targets("P279").alias("p279"),
-    )
+    rows = parsed(raw).where("outcome = 'Item'").select("qid", "v")
+    return _once(
+        rows, label_en=label("en"), label_nb=label("nb"), alias_en=aliases("en"), alias_nb=aliases("nb"),
+        p31=targets("P31"), p279=targets("P279"),
+    ).drop("v")
 
 
 def written(concept: DataFrame, lexical: DataFrame, instance: DataFrame, subclass: DataFrame) -> DataFrame:
