@@ -55,7 +55,8 @@ def _ends(s: str) -> bool:
 
 
 def blocks(text: str) -> Iterator[str]:
-    """Lines put back together where a sentence was wrapped; list items and short lines stay by themselves."""
+    """Lines put back together where a sentence may be wrapped, at any width; list items and table rows stay by
+    themselves. Lines of a list without marks are joined too, but then hold no sentence end."""
     held: list[str] = []
     before = ""
     for line in text.split("\n"):
@@ -68,7 +69,7 @@ def blocks(text: str) -> Iterator[str]:
             held, before = [], ""
             continue
         bullet = BULLET.match(line)
-        goes_on = before and not bullet and (len(before) >= 40 or (line[0].islower() and not _ends(before)))
+        goes_on = before and not bullet and not any(x in before or x in line for x in "|\t")
         if held and not goes_on:
             yield " ".join(held)
             held = []
