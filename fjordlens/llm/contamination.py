@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-BLOCK_CHARS = 4_000_000  # characters of passages in one index: about 100 MB in each task
+BLOCK_CHARS = 1_000_000  # characters of passages in one index, which every task holds
 BATCH_CHARS = 2_000_000
 TABLE_BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
