@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,6 +37,24 @@ def ship(spark: SparkSession) -> None:
     context._fjordlens_sent = True
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the tables of this application when it ends; results that are read lazily may need them until then."""
+    for spark, at in _roots:
+        try:
+            _delete(spark, at)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -45,6 +64,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _roots.append((spark, self.root))
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again; the plan behind it is gone."""
@@ -56,8 +76,7 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        at = getattr(df, "_scratch_path", None)
-        if at:
+        if at := getattr(df, "_scratch_path", None):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
