@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fjordlens.functions import canon, fixed
 from fjordlens.operators import hierarchy, tiers, traversal
 from fjordlens.plans.corpus import PROFILED
+from fjordlens.plans.runtime import Scratch, global_rank
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -256,6 +257,33 @@ def probe_interleave(spark: SparkSession, d: str) -> DataFrame:
     return serving_plan(spark, d).where("op = 'S5'").select(place.alias("place"), "stratum", "qid")
 
 
+def _with_tail_sql(plan: str) -> str:
+    return f"""
+WITH {PROFILED}, plan AS ({plan}), tails AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i FROM profiled WHERE tail)
+SELECT seq, op, stratum, qid, lang, value, true AS measured FROM plan
+UNION ALL SELECT (SELECT count(*) FROM plan) + i, 'S1', 'Tail', qid, NULL, NULL, false FROM tails"""
+
+
+def with_tail(spark: SparkSession, d: str, plan: DataFrame, scratch: Scratch) -> DataFrame:
+    """The measured probes and, after them, every tail concept by id as an unmeasured one. Tails grow with the data, so
+    they are numbered by ranges."""
+    plan = scratch.cut(plan)
+    tail = tiers.profiled(table(spark, d, "concept"), table(spark, d, "lexical_entry")).where("tail").select("qid")
+    numbered = global_rank(tail, ["qid"], "i", scratch)
+    none = F.lit(None).cast("string")
+    last = numbered.select(
+        (F.col("i") + plan.count()).alias("seq"), F.lit("S1").alias("op"), F.lit("Tail").alias("stratum"), "qid", none.alias("lang"), none.alias("value"),
+        F.lit(False).alias("measured"),
+    )
+    return plan.withColumn("measured", F.lit(True)).unionByName(last)
+
+
+@query(_with_tail_sql(_PLAN))
+def serving_plan_full(spark: SparkSession, d: str) -> DataFrame:
+    """``serving_plan`` with the correctness tail: every tail concept after S5."""
+    return with_tail(spark, d, serving_plan(spark, d), Scratch(spark, "plan"))
+
+
 # ---- guarded selections ----
 _SUB = "SELECT DISTINCT SubjectQid AS node, TargetQid AS parent FROM subclass_of"
 
