@@ -11,6 +11,7 @@ from fjordlens.functions import canon, fixed
 from fjordlens.operators import hierarchy, tiers, traversal
 from fjordlens.plans.corpus import PROFILED
 from fjordlens.plans.runtime import Scratch, global_rank
+from fjordlens.sources import contracts
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -28,6 +29,9 @@ PER_STRATUM = 20
 FANOUTS = {"Fanout1": (1, 1), "Fanout2To5": (2, 5), "Fanout6To50": (6, 50), "Fanout51Plus": (51, None)}
 GUARD = 30  # a guard that some starts of the test tables exceed
 SELECTED = 25
+CONTRACT = contracts.workload()
+G1_COUNT = {s.stratum: s.count for s in CONTRACT.strata if s.operation == "G1"}
+G2_COUNT = dict(CONTRACT.g2)
 
 
 def query(sql: str | None = None):
@@ -300,37 +304,75 @@ WITH RECURSIVE {DEGREES},
 cand AS (SELECT pool, qid, {_hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", 'CAST(qid AS VARCHAR)')} AS h FROM pools)"""
 
 
-@query(f"""
+def _count_sql(counts: dict[str, int]) -> str:
+    return f"CASE split_part(pool, '/', 2) {' '.join(f"WHEN '{s}' THEN {n}" for s, n in counts.items())} END"
+
+
+def _g1_sql(guard: int, n: int | str) -> str:
+    return f"""
 {_G}, {_visited_sql("SELECT DISTINCT qid AS seed FROM cand WHERE pool LIKE 'G1/%'")},
 ok AS (SELECT c.*, v.n, row_number() OVER (PARTITION BY pool ORDER BY h, qid) AS rank FROM cand c JOIN visited v ON v.seed = c.qid
-  WHERE pool LIKE 'G1/%' AND v.n <= {GUARD})
-SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS visited FROM ok WHERE rank <= {SELECTED}""")
-def g1_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The first starts of each stratum by hash whose ancestry stays within the guard."""
+  WHERE pool LIKE 'G1/%' AND v.n <= {guard})
+SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS visited FROM ok WHERE rank <= {n}"""
+
+
+def _counted(chosen: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """The rows of each stratum up to its own count."""
+    n = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
+    return chosen.where(F.col("rank") <= n[F.col("stratum")])
+
+
+def _g1(spark: SparkSession, d: str, guard: int, count: int) -> DataFrame:
     cand = pools(spark, d).where("pool like 'G1/%'")
     met = traversal.ancestry(cand.select(F.col("qid").alias("seed")), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"))
     n = met.groupBy(F.col("seed").alias("qid")).agg((F.count("*") + 1).alias("n"))
-    fit = cand.join(n, "qid", "left").withColumn("visited", F.coalesce("n", F.lit(1))).where(F.col("visited") <= GUARD)
-    out = ranked(fit.select("pool", "qid", "visited"), F.col("qid").cast("string"), [F.col("qid")], SELECTED)
+    fit = cand.join(n, "qid", "left").withColumn("visited", F.coalesce("n", F.lit(1))).where(F.col("visited") <= guard)
+    out = ranked(fit.select("pool", "qid", "visited"), F.col("qid").cast("string"), [F.col("qid")], count)
     return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "visited")
 
 
-@query(f"""
+@query(_g1_sql(GUARD, SELECTED))
+def g1_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The first starts of each stratum by hash whose ancestry stays within the guard."""
+    return _g1(spark, d, GUARD, SELECTED)
+
+
+@query(_g1_sql(fixed.VISITED_GUARD, _count_sql(G1_COUNT)))
+def g1_contract_selection(spark: SparkSession, d: str) -> DataFrame:
+    """``g1_selection`` under the contract's guard, as many starts as the contract asks for."""
+    return _counted(_g1(spark, d, fixed.VISITED_GUARD, max(G1_COUNT.values())), G1_COUNT)
+
+
+def _g2_sql(guard: int, n: int | str) -> str:
+    return f"""
 {_G},
 direct AS (SELECT DISTINCT SubjectQid AS qid, TargetQid AS target FROM instance_of WHERE SubjectQid IN (SELECT qid FROM cand WHERE pool LIKE 'G2/%')),
 {_visited_sql("SELECT DISTINCT target AS seed FROM direct")},
 most AS (SELECT d.qid, max(v.n) AS n FROM direct d JOIN visited v ON v.seed = d.target GROUP BY 1),
 ok AS (SELECT c.*, m.n, row_number() OVER (PARTITION BY pool ORDER BY h, c.qid) AS rank FROM cand c JOIN most m ON m.qid = c.qid
-  WHERE pool LIKE 'G2/%' AND m.n <= {GUARD})
-SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS max_visited FROM ok WHERE rank <= {SELECTED}""")
-def g2_batch_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The first concepts of each stratum by hash none of whose targets has an ancestry beyond the guard."""
+  WHERE pool LIKE 'G2/%' AND m.n <= {guard})
+SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS max_visited FROM ok WHERE rank <= {n}"""
+
+
+def _g2(spark: SparkSession, d: str, guard: int, count: int) -> DataFrame:
     cand = pools(spark, d).where("pool like 'G2/%'")
     direct = table(spark, d, "instance_of").select(F.col("SubjectQid").alias("qid"), F.col("TargetQid").alias("seed")).distinct()
     direct = direct.join(cand.select("qid").distinct(), "qid", "left_semi")
     met = traversal.ancestry(direct.select("seed"), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"))
     n = met.groupBy("seed").agg((F.count("*") + 1).alias("n"))
     most = direct.join(n, "seed", "left").groupBy("qid").agg(F.max(F.coalesce("n", F.lit(1))).alias("max_visited"))
-    fit = cand.join(most, "qid").where(F.col("max_visited") <= GUARD)
-    out = ranked(fit.select("pool", "qid", "max_visited"), F.col("qid").cast("string"), [F.col("qid")], SELECTED)
+    fit = cand.join(most, "qid").where(F.col("max_visited") <= guard)
+    out = ranked(fit.select("pool", "qid", "max_visited"), F.col("qid").cast("string"), [F.col("qid")], count)
     return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "max_visited")
+
+
+@query(_g2_sql(GUARD, SELECTED))
+def g2_batch_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The first concepts of each stratum by hash none of whose targets has an ancestry beyond the guard."""
+    return _g2(spark, d, GUARD, SELECTED)
+
+
+@query(_g2_sql(fixed.VISITED_GUARD, _count_sql(G2_COUNT)))
+def g2_contract_selection(spark: SparkSession, d: str) -> DataFrame:
+    """``g2_batch_selection`` under the contract's guard, as many concepts as the contract asks for."""
+    return _counted(_g2(spark, d, fixed.VISITED_GUARD, max(G2_COUNT.values())), G2_COUNT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from pathlib import Path
 
 OPERATIONS = ("S1", "S2", "S3", "S4", "S5", "G1")
 MODES = ("sha256-ranked-sample", "all-eligible", "generated-miss", "degree-rank-500")
@@ -98,6 +99,11 @@ def parse(text: str) -> Contract:
     return Contract(strata, tail, g2, raw["maxDepth"], raw["visitedNodeGuard"], limits)
 
 
+def workload() -> Contract:
+    """The contract of the full plan, kept beside this file."""
+    return parse(Path(__file__).with_name("workload_contract_v1.json").read_text())
+
+
 def verdict(contract: Contract, pools: dict[str, int]) -> tuple[str, list[str]]:
     """GO, or HOLD with the pools that are too small or not of the expected size."""
     why = []

@@ -33,3 +33,19 @@ def test_plan_ends_with_every_tail_concept(spark, small):
     tail = [r for r in rows if not r.measured]
     assert [(r.op, r.stratum, r.qid) for r in tail] == [("S1", "Tail", q) for q in range(381, 401)]
     assert rows[-len(tail) :] == tail
+
+
+def test_contract_guard(spark, tmp_path):
+    """A start of 5,000 visited nodes is within the contract's guard, one of 5,001 is not."""
+    d = str(tmp_path)
+    wide = spark.range(4999).select(F.lit(1).cast("bigint").alias("SubjectQid"), (F.col("id") + 100).alias("TargetQid"))
+    wider = spark.range(5000).select(F.lit(2).cast("bigint").alias("SubjectQid"), (F.col("id") + 100).alias("TargetQid"))
+    more = spark.createDataFrame([(q, 100 + q + k) for q in (3, 4) for k in range(40)], "SubjectQid bigint, TargetQid bigint")
+    wide.union(wider).union(more).write.parquet(f"{d}/subclass_of.parquet")
+    spark.range(1, 20).select(F.col("id").alias("Qid"), F.lit(True).alias("InT1"), F.lit(False).alias("InT2")).write.parquet(f"{d}/concept.parquet")
+    spark.createDataFrame([(1, "en", "a")], "Qid bigint, Lang string, Value string").write.parquet(f"{d}/lexical_entry.parquet")
+    spark.createDataFrame([(11, 1), (12, 2), (13, 3)], "SubjectQid bigint, TargetQid bigint").write.parquet(f"{d}/instance_of.parquet")
+    g1 = {r.qid: r.visited for r in check(spark, d, "g1_contract_selection").collect()}
+    assert g1 == {1: 5000, 3: 41, 4: 41}
+    g2 = {r.qid: r.max_visited for r in check(spark, d, "g2_contract_selection").collect()}
+    assert g2 == {11: 5000, 13: 41}
