@@ -79,7 +79,7 @@ def rank_hash(operation: str | Column, stratum: str | Column, identity: Column,
 
 
 def lexical_identity(lang: str | Column, value: str | Column) -> Column:
-    return F.base64(F.unhex(F.concat(text(lang), text(value))))
+    return F.regexp_replace(F.base64(F.unhex(F.concat(text(lang), text(value)))), "\r\n", "")  # Spark breaks lines at 76 characters
 
 
 def sample_bucket(qid: str | Column) -> Column:

@@ -142,11 +142,12 @@ def census_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- ranked samples ----
-def ranked(rows: DataFrame, identity: Column, tie: list[Column], n: int) -> DataFrame:
-    """The first n of each pool by hash; each task keeps its own first n before the shuffle (window group limit)."""
+def ranked(rows: DataFrame, identity: Column, tie: list[Column], n: int | None) -> DataFrame:
+    """The first n of each pool by hash, all without n; each task keeps its own first n before the shuffle (window group limit)."""
     parts = F.split("pool", "/")
     hashed = rows.withColumn("h", canon.rank_hash(parts[0], parts[1], identity))
-    return hashed.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("h", *tie))).where(F.col("rank") <= n)
+    out = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("h", *tie)))
+    return out if n is None else out.where(F.col("rank") <= n)
 
 
 _RANK = f"""
@@ -186,37 +187,53 @@ def _counters(spark: SparkSession, domain: str, op: str, stratum: str, n: int) -
     return spark.range(n + _SLACK).select(F.col("id").alias("counter"), canon.rank_hash(op, stratum, F.col("id").cast("string"), domain).alias("h"))
 
 
-@query(f"""
-WITH g AS (SELECT range AS counter, {_hash_sql("'S1'", "'Absent'", 'CAST(range AS VARCHAR)', fixed.CONCEPT_MISS_DOMAIN)} AS h FROM range({PER_STRATUM + _SLACK})),
+def _concept_misses_sql(n: int) -> str:
+    return f"""
+WITH g AS (SELECT range AS counter, {_hash_sql("'S1'", "'Absent'", 'CAST(range AS VARCHAR)', fixed.CONCEPT_MISS_DOMAIN)} AS h FROM range({n + _SLACK})),
 c AS (SELECT counter, h, CAST(('0x' || substr(h, 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS qid FROM g),
 a AS (SELECT qid, min(counter) AS counter, min_by(h, counter) AS h FROM c WHERE qid > 0 AND qid NOT IN (SELECT Qid FROM concept) GROUP BY 1),
-f AS (SELECT * FROM a ORDER BY counter LIMIT {PER_STRATUM})
-SELECT row_number() OVER (ORDER BY h, qid) AS rank, qid FROM f""")
-def concept_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Generated concept ids that are proven absent."""
+f AS (SELECT * FROM a ORDER BY counter LIMIT {n})
+SELECT row_number() OVER (ORDER BY h, qid) AS rank, qid FROM f"""
+
+
+def _concept_misses(spark: SparkSession, d: str, n: int) -> DataFrame:
     high, low = (F.conv(F.substring("h", i, 8), 16, 10).cast("bigint") for i in (1, 9))
-    made = _counters(spark, fixed.CONCEPT_MISS_DOMAIN, "S1", "Absent", PER_STRATUM).withColumn(
+    made = _counters(spark, fixed.CONCEPT_MISS_DOMAIN, "S1", "Absent", n).withColumn(
         "qid", F.shiftleft(high.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(low)
     )
     absent = made.where("qid > 0").join(table(spark, d, "concept").select(F.col("Qid").alias("qid")), "qid", "left_anti")
-    first = absent.groupBy("qid").agg(F.min("counter").alias("counter"), F.min_by("h", "counter").alias("h")).orderBy("counter").limit(PER_STRATUM)
-    return first.select(F.row_number().over(Window.orderBy("h", "qid")).alias("rank"), "qid")  # of PER_STRATUM rows
+    first = absent.groupBy("qid").agg(F.min("counter").alias("counter"), F.min_by("h", "counter").alias("h")).orderBy("counter").limit(n)
+    return first.select(F.row_number().over(Window.orderBy("h", "qid")).alias("rank"), "qid")  # of n rows
 
 
-@query(f"""
-WITH g AS (SELECT range AS counter, {_hash_sql("'S2'", "'Miss'", 'CAST(range AS VARCHAR)', fixed.LEXICAL_MISS_DOMAIN)} AS h FROM range({PER_STRATUM + _SLACK})),
+@query(_concept_misses_sql(PER_STRATUM))
+def concept_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Generated concept ids that are proven absent."""
+    return _concept_misses(spark, d, PER_STRATUM)
+
+
+def _lexical_misses_sql(n: int) -> str:
+    return f"""
+WITH g AS (SELECT range AS counter, {_hash_sql("'S2'", "'Miss'", 'CAST(range AS VARCHAR)', fixed.LEXICAL_MISS_DOMAIN)} AS h FROM range({n + _SLACK})),
 c AS (SELECT counter, h, '{fixed.MISS_LANGUAGE}' AS lang, '{fixed.MISS_PREFIX}' || substr(h, 1, 24) AS value FROM g),
 a AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM lexical_entry l WHERE l.Lang = c.lang AND l.Value = c.value)),
-f AS (SELECT * FROM a ORDER BY counter LIMIT {PER_STRATUM})
-SELECT row_number() OVER (ORDER BY h, value) AS rank, lang, value FROM f""")
-def lexical_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Generated (language, text) keys that are proven absent."""
-    made = _counters(spark, fixed.LEXICAL_MISS_DOMAIN, "S2", "Miss", PER_STRATUM).select(
+f AS (SELECT * FROM a ORDER BY counter LIMIT {n})
+SELECT row_number() OVER (ORDER BY h, value) AS rank, lang, value FROM f"""
+
+
+def _lexical_misses(spark: SparkSession, d: str, n: int) -> DataFrame:
+    made = _counters(spark, fixed.LEXICAL_MISS_DOMAIN, "S2", "Miss", n).select(
         "counter", "h", F.lit(fixed.MISS_LANGUAGE).alias("lang"), F.concat(F.lit(fixed.MISS_PREFIX), F.substring("h", 1, 24)).alias("value")
     )
     known = table(spark, d, "lexical_entry").select(F.col("Lang").alias("lang"), F.col("Value").alias("value"))
-    first = made.join(known, ["lang", "value"], "left_anti").orderBy("counter").limit(PER_STRATUM)
-    return first.select(F.row_number().over(Window.orderBy("h", "value")).alias("rank"), "lang", "value")  # of PER_STRATUM rows
+    first = made.join(known, ["lang", "value"], "left_anti").orderBy("counter").limit(n)
+    return first.select(F.row_number().over(Window.orderBy("h", "value")).alias("rank"), "lang", "value")  # of n rows
+
+
+@query(_lexical_misses_sql(PER_STRATUM))
+def lexical_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Generated (language, text) keys that are proven absent."""
+    return _lexical_misses(spark, d, PER_STRATUM)
 
 
 # ---- the plan ----
@@ -288,6 +305,84 @@ def serving_plan_full(spark: SparkSession, d: str) -> DataFrame:
     return with_tail(spark, d, serving_plan(spark, d), Scratch(spark, "plan"))
 
 
+# ---- the contract's plan ----
+#: Probes of each serving stratum; none where all eligible ones are taken.
+SERVING = {f"{s.operation}/{s.stratum}": None if s.mode == "all-eligible" else s.count for s in CONTRACT.strata if s.operation != "G1"}
+_MADE = ("S1/Absent", "S2/Miss")
+_SAMPLED = [p for p, n in SERVING.items() if n and p not in _MADE]
+_WHOLE = [p for p, n in SERVING.items() if n is None]
+_GATED = [(f"{s.operation}/{s.stratum}", s.mode, s.expected if s.mode == "all-eligible" else s.count) for s in CONTRACT.strata + CONTRACT.tail if s.mode != "generated-miss"]
+_NEEDS = f"need(pool, n) AS (VALUES {', '.join(f"('{p}', {'CAST(NULL AS BIGINT)' if n is None else n})" for p, n in SERVING.items() if p not in _MADE)})"
+
+
+@query(f"""
+WITH sizes AS ({_SIZES} UNION ALL SELECT 'S1/Tail', count(*) FROM (WITH {PROFILED} SELECT qid FROM profiled WHERE tail)),
+gate(pool, mode, needed) AS (VALUES {', '.join(f"('{p}', '{m}', {n})" for p, m, n in _GATED)})
+SELECT g.pool, g.mode, g.needed, coalesce(s.n, 0) AS have,
+  CASE WHEN g.mode = 'all-eligible' AND coalesce(s.n, 0) = g.needed OR g.mode <> 'all-eligible' AND coalesce(s.n, 0) >= g.needed THEN 'GO' ELSE 'HOLD' END AS verdict
+FROM gate g LEFT JOIN sizes s ON s.pool = g.pool""")
+def contract_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each pool has the contract's count, and pools that are taken whole exactly the expected one."""
+    gates = spark.createDataFrame(_GATED, "pool string, mode string, needed int")
+    tail = tiers.profiled(table(spark, d, "concept"), table(spark, d, "lexical_entry")).where("tail").agg(F.count("*").alias("n"))
+    sizes = pool_cardinalities(spark, d).unionByName(tail.select(F.lit("S1/Tail").alias("pool"), "n"))
+    have = F.coalesce("n", F.lit(0))
+    go = F.when(F.col("mode") == "all-eligible", have == F.col("needed")).otherwise(have >= F.col("needed"))
+    return gates.join(sizes, "pool", "left").select("pool", "mode", "needed", have.alias("have"), F.when(go, "GO").otherwise("HOLD").alias("verdict"))
+
+
+def _contract_ranked(rows: DataFrame, identity: Column, tie: list[Column]) -> DataFrame:
+    """The contract's first ones of each pool; pools that are taken whole keep every member."""
+    needs = F.create_map(*(F.lit(x) for p, n in SERVING.items() if n for x in (p, n)))
+    first = ranked(rows.where(F.col("pool").isin(_SAMPLED)), identity, tie, max(filter(None, SERVING.values())))
+    return first.where(F.col("rank") <= needs[F.col("pool")]).unionByName(ranked(rows.where(F.col("pool").isin(_WHOLE)), identity, tie, None))
+
+
+def _contract_samples(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    concepts = _contract_ranked(pools(spark, d), F.col("qid").cast("string"), [F.col("qid")])
+    keys = _contract_ranked(lexical_pools(spark, d), canon.lexical_identity("lang", "value"), [canon.ordinal("lang"), canon.ordinal("value")])
+    return concepts.select("pool", "rank", "qid", none.alias("lang"), none.alias("value")).unionByName(
+        keys.select("pool", "rank", none.cast("bigint").alias("qid"), "lang", "value")
+    )
+
+
+_CONTRACT_SAMPLES = f"""
+WITH {DEGREES}, {_RANK}, {_NEEDS}
+SELECT r.pool, rank, qid, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS value FROM r JOIN need ON need.pool = r.pool WHERE n IS NULL OR rank <= n
+UNION ALL SELECT lr.pool, rank, NULL, lang, value FROM lr JOIN need ON need.pool = lr.pool WHERE n IS NULL OR rank <= n"""
+_CONTRACT_PLAN = f"""
+WITH chosen AS (
+  SELECT pool, rank, qid, lang, value FROM ({_CONTRACT_SAMPLES})
+  UNION ALL SELECT 'S1/Absent', rank, qid, NULL, NULL FROM ({_concept_misses_sql(SERVING["S1/Absent"])})
+  UNION ALL SELECT 'S2/Miss', rank, NULL, lang, value FROM ({_lexical_misses_sql(SERVING["S2/Miss"])})),
+place(pool, op, stratum) AS (VALUES {', '.join(f"('{p}', {o}, {i})" for p, o, i in _PLACES)})
+SELECT row_number() OVER (ORDER BY p.op, c.rank, p.stratum) - 1 AS seq, split_part(c.pool, '/', 1) AS op, split_part(c.pool, '/', 2) AS stratum,
+  c.qid, c.lang, c.value FROM chosen c JOIN place p ON p.pool = c.pool"""
+
+
+@query(_CONTRACT_SAMPLES)
+def contract_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The hash-ranked sample of every serving pool at the contract's count, all of the pools that it takes whole."""
+    return _contract_samples(spark, d)
+
+
+@query(_with_tail_sql(_CONTRACT_PLAN))
+def contract_plan(spark: SparkSession, d: str) -> DataFrame:
+    """``serving_plan_full`` at the contract's counts; a pool that is too small gives what it has, see ``contract_gates``."""
+    scratch = Scratch(spark, "contract")
+    none = F.lit(None).cast("string")
+    rows = (
+        _contract_samples(spark, d)
+        .unionByName(_concept_misses(spark, d, SERVING["S1/Absent"]).select(F.lit("S1/Absent").alias("pool"), "rank", "qid", none.alias("lang"), none.alias("value")))
+        .unionByName(_lexical_misses(spark, d, SERVING["S2/Miss"]).select(F.lit("S2/Miss").alias("pool"), "rank", none.cast("bigint").alias("qid"), "lang", "value"))
+    )
+    place = spark.createDataFrame(_PLACES, "pool string, at int, stratum_at int")
+    parts = F.split("pool", "/")
+    laid = global_rank(rows.join(F.broadcast(place), "pool"), ["at", "rank", "stratum_at"], "seq", scratch)
+    return with_tail(spark, d, laid.select("seq", parts[0].alias("op"), parts[1].alias("stratum"), "qid", "lang", "value"), scratch)
+
+
 # ---- guarded selections ----
 _SUB = "SELECT DISTINCT SubjectQid AS node, TargetQid AS parent FROM subclass_of"
 

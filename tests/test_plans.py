@@ -1,9 +1,12 @@
 """Plans and selections over small tables of their own."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from fjordlens.functions import canon
 from tests.oracle import compare
 
 
@@ -49,3 +52,36 @@ def test_contract_guard(spark, tmp_path):
     assert g1 == {1: 5000, 3: 41, 4: 41}
     g2 = {r.qid: r.max_visited for r in check(spark, d, "g2_contract_selection").collect()}
     assert g2 == {11: 5000, 13: 41}
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """30 texts of 51 rows each and 1,200 concepts, all within the sample."""
+    d = str(tmp_path_factory.mktemp("many"))
+    q = spark.range(1, 1201).select(F.col("id").alias("Qid"))
+    q.select("Qid", F.lit(True).alias("InT1"), F.lit(False).alias("InT2")).write.parquet(f"{d}/concept.parquet")
+    spark.range(30 * 51).select((F.col("id") % 51 + 1).alias("Qid"), F.lit("en").alias("Lang"), F.concat(F.lit("v"), F.expr("id div 51")).alias("Value")).write.parquet(
+        f"{d}/lexical_entry.parquet"
+    )
+    q.where("Qid <= 500").select(F.col("Qid").alias("SubjectQid"), F.lit(7).cast("bigint").alias("TargetQid")).write.parquet(f"{d}/instance_of.parquet")
+    q.limit(0).select(F.col("Qid").alias("SubjectQid"), F.col("Qid").alias("TargetQid")).write.parquet(f"{d}/subclass_of.parquet")
+    return d
+
+
+def test_contract_takes_whole_pools_and_its_counts(spark, many):
+    n = {r.pool: r["count"] for r in check(spark, many, "contract_samples").groupBy("pool").count().collect()}
+    assert n == {"S1/T1Only": 1200, "S2/Fanout51Plus": 30, "S3/T1WithLexical": 51, "S3/ConceptNoLexical": 1000, "S4/Degree0": 700, "S4/Degree1": 500, "S4/HighDegree": 500, "S5/Degree0": 1200}
+    plan = {(r.op, r.stratum): r["count"] for r in check(spark, many, "contract_plan").groupBy("op", "stratum").count().collect()}
+    assert plan == {tuple(k.split("/")): v for k, v in n.items()} | {("S1", "Absent"): 4000, ("S2", "Miss"): 4000}
+
+
+def test_contract_gates(spark, many):
+    got = {r.pool: (r.needed, r.have, r.verdict) for r in check(spark, many, "contract_gates").collect()}
+    assert got["S2/Fanout51Plus"] == (380, 30, "HOLD") and got["S1/Tail"] == (20, 0, "HOLD")
+    assert got["S3/ConceptNoLexical"] == (1000, 1149, "GO") and got["S4/HighDegree"] == (500, 500, "GO")
+    assert got["S1/T1Only"] == (4000, 1200, "HOLD") and "S1/Absent" not in got
+
+
+def test_long_keys_are_ranked_in_one_line(spark):
+    row = spark.range(1).select(canon.lexical_identity(F.lit("en"), F.lit("A" * 60)).alias("i")).collect()[0]
+    assert row.i == base64.b64encode(b"\0\0\0\2en\0\0\0<" + b"A" * 60).decode()
