@@ -3,7 +3,8 @@
 Method: each statistic is turned so that high means unlike prose. All (statistic, language, value) rows are sorted once by
 range, ranks are the position in the range plus the offset of the ranges before it, ties share the rank of the first of
 them, and a value's tail probability is the share of its language's documents that are at least as extreme. The score
-of a document is the mean of -ln(tail) over the statistics. A document is reported where its score is above
+of a document is the mean of -ln(tail) over the statistics, the larger of the one within its language and the one among
+all documents. A document is reported where its score is above
 ``least_score`` and, as the exact check, less than half of its words stand in running sentences.
 
 A hot language or value spans ranges: only per-range counts and boundary keys go to the driver.
@@ -46,6 +47,7 @@ SPLIT = re.compile(rf"(?<=[.!?…])[{re.escape(CLOSE)}]*\s+")
 SIGNS = re.compile(r"[|=\t{}<>\[\]#@~^\\/_;]|:(?=[:\s\d])")
 
 STATS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio", "sentence_ratio", "words_per_line")
+EVERY = "-"  # all documents as one group; a code is cut at its first hyphen, so none is called so
 SCHEMA = ", ".join(f"{s} double" for s in STATS)
 
 
@@ -203,6 +205,10 @@ def tail_probabilities(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame
 
 
 def scored(stats: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(key, score): the mean of -ln(tail) over the statistics."""
-    tails = tail_probabilities(oddities(stats), key, scratch)
-    return tails.groupBy(key).agg(F.avg(-F.ln("tail")).alias("score"))
+    """(key, score): the mean of -ln(tail) over the statistics, among the documents of its language or among all,
+    whichever is larger: a group of few or mostly odd documents does not hide its members."""
+    rows = oddities(stats).select(key, "lang", "stat", "value")
+    every = rows.withColumn("lang", F.lit(EVERY))
+    tails = tail_probabilities(rows.unionByName(every), key, scratch)
+    two = tails.groupBy(key, (F.col("lang") == EVERY).alias("of_all")).agg(F.avg(-F.ln("tail")).alias("score"))
+    return two.groupBy(key).agg(F.max("score").alias("score"))

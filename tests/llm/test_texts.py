@@ -202,3 +202,11 @@ def test_odd_documents(spark):
     assert set(scores) == {1, 4, 5, 6, None} and all(s >= 0 for s in scores.values())
     none = text_quality.with_statistics(df.limit(0), "text", ["doc", "lang"])
     assert text_quality.scored(none, "doc", Scratch(spark, "t")).count() == 0
+
+
+def test_a_group_of_odd_documents_hides_none(spark):
+    rows = [(i, "en", PROSE[i % len(PROSE)]) for i in range(60)] + [(100, "xx", JUNK[0])] + [(200 + i, "yy", JUNK[1]) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc bigint, lang string, text string")
+    stats = text_quality.with_statistics(df, "text", ["doc", "lang"])
+    scores = {r.doc: r.score for r in text_quality.scored(stats, "doc", Scratch(spark, "t")).collect()}
+    assert all(scores[d] >= 0.3 for d in (100, 200, 201, 202, 203))
