@@ -145,7 +145,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(scratch.cut(mixing.mixed(counted, rated, "doc_id")), rated)
 
 
-LEAST_SCORE = 0.3  # candidates: more extreme than most documents; the check on running sentences decides
+LEAST_SCORE = 0.3  # candidates, most documents among them; the check on running sentences decides
 
 
 def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
