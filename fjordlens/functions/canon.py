@@ -71,7 +71,7 @@ def selector(domain: str, operation: Column, stratum: Column, identity: Column)
     return F.concat_ws("\x1f", F.lit(domain), operation, stratum, identity)
 
 
-def rank_hash(operation: str | Column, stratum: str | Column, identity: Column, domain: str = fixed.SELECTION_DOMAIN) -> Column:
+def rank_hash(operation: str | Column, stratum: str | Column, identity: Column, domain: str) -> Column:
     """64 hex digits; their order is the order of the 256-bit hash."""
     op = F.lit(operation) if isinstance(operation, str) else operation
     st = F.lit(stratum) if isinstance(stratum, str) else stratum

@@ -1,12 +1,19 @@
-"""They enter hashes, so results depend on each of their characters."""
-
-# Domains of hashes.
-SAMPLE_DOMAIN = "mimir-catalog-corpus-v1"
-SELECTION_DOMAIN = "mimir-catalog-workload-v1"
-CONCEPT_MISS_DOMAIN = "mimir-catalog-workload-v1-miss-concept"
-LEXICAL_MISS_DOMAIN = "mimir-catalog-workload-v1-miss-lexical"
-MISS_PREFIX = "mc-miss-"
-MISS_LANGUAGE = "nb"
+"""They enter hashes, so results depend on each of their characters. Texts among them are read from the
+corpus's data file."""
+
+import json
+import pkgutil
+
+
+def _data(name: str) -> dict:
+    return json.loads(pkgutil.get_data("fjordlens.sources", name))
+
+
+_CORPUS = _data("corpus_v1.json")
+
+# The domain of the sample's hash; those of the workload stand in its contract.
+SAMPLE_DOMAIN = _CORPUS["sampleDomain"]
+MISS_PREFIX = _CORPUS["missPrefix"]
 
 # The sample: hash mod 1000 below 25.
 SAMPLE_MODULUS = 1000

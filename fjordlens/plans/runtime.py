@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else (tests, local mode) one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only local mode, where driver and executors
+    are one process, may lack it and gets a folder of its own; on a cluster a machine's own folder would lose tables."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"fjordlens-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -31,7 +34,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     at = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
     with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted(q for q in root.rglob("*") if q.suffix in (".py", ".json")):
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(at)
     context._fjordlens_sent = True
@@ -42,7 +45,7 @@ _roots: list[tuple[SparkSession, str]] = []
 
 def _delete(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @atexit.register
@@ -77,8 +80,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         if at := getattr(df, "_scratch_path", None):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, at)
 
 
 def offsets(counts: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:

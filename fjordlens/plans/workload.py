@@ -1,4 +1,9 @@
-"""Queries that choose deterministic probes: pools, hash-ranked samples, misses, plans and guarded selections."""
+"""Queries that choose deterministic probes: pools, hash-ranked samples, misses, plans and guarded selections.
+
+All of it follows a workload contract: strata and their counts, fanout ranges, guard, depth, hash domains and the language of
+misses. The queries are registered under the full contract and, with the prefix ``small_``, under a smaller one whose
+counts and guard the test tables exercise.
+"""
 
 from __future__ import annotations
 
@@ -12,66 +17,13 @@ from fjordlens.operators import hierarchy, tiers, traversal
 from fjordlens.plans.corpus import PROFILED
 from fjordlens.plans.runtime import Scratch, global_rank
 from fjordlens.sources import contracts
+from fjordlens.sources.contracts import Contract
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-#: Strata in their order, with the number of probes; the same algorithms as the full plan at a smaller count.
-STRATA = {
-    "S1": ("T1Only", "T2Only", "T1IntersectT2", "Absent"),
-    "S2": ("Fanout1", "Fanout2To5", "Fanout6To50", "Fanout51Plus", "Miss"),
-    "S3": ("T1WithLexical", "T2OnlyWithLexical", "ConceptNoLexical"),
-    "S4": ("Degree0", "Degree1", "Degree2Plus", "HighDegree"),
-    "S5": ("Degree0", "Degree1", "Degree2Plus"),
-}
-PER_STRATUM = 20
-FANOUTS = {"Fanout1": (1, 1), "Fanout2To5": (2, 5), "Fanout6To50": (6, 50), "Fanout51Plus": (51, None)}
-GUARD = 30  # a guard that some starts of the test tables exceed
-SELECTED = 25
-CONTRACT = contracts.workload()
-G1_COUNT = {s.stratum: s.count for s in CONTRACT.strata if s.operation == "G1"}
-G2_COUNT = dict(CONTRACT.g2)
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _hash_sql(op: str, stratum: str, identity: str, domain: str = fixed.SELECTION_DOMAIN) -> str:
-    return f"sha256('{domain}' || chr(31) || {op} || chr(31) || {stratum} || chr(31) || {identity})"
-
-
-# ---- pools ----
-DEGREES = f"""
-{PROFILED},
-deg AS (SELECT p.*, coalesce(i.n, 0) AS p31, s.n AS p279 FROM profiled p
-  LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM instance_of GROUP BY 1) i ON i.SubjectQid = p.qid
-  LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM subclass_of GROUP BY 1) s ON s.SubjectQid = p.qid),
-high AS (SELECT qid, p31 AS degree, row_number() OVER (ORDER BY p31 DESC, {_hash_sql("'S4'", "'HighDegree'", 'CAST(qid AS VARCHAR)')}, qid) AS rank
-  FROM deg WHERE in_t1 AND p31 >= 1),
-pools AS (
-  SELECT qid, unnest(list_filter([
-    CASE WHEN in_t1 AND NOT in_t2 THEN 'S1/T1Only' END, CASE WHEN NOT in_t1 AND in_t2 AND NOT tail THEN 'S1/T2Only' END,
-    CASE WHEN in_t1 AND in_t2 THEN 'S1/T1IntersectT2' END, CASE WHEN in_t1 AND has_lexical THEN 'S3/T1WithLexical' END,
-    CASE WHEN NOT in_t1 AND in_t2 AND NOT tail AND has_lexical THEN 'S3/T2OnlyWithLexical' END,
-    CASE WHEN NOT has_lexical AND NOT tail THEN 'S3/ConceptNoLexical' END,
-    CASE WHEN in_t1 AND p31 = 0 THEN 'S4/Degree0' END, CASE WHEN in_t1 AND p31 = 1 THEN 'S4/Degree1' END,
-    CASE WHEN in_t1 AND p31 >= 2 AND qid NOT IN (SELECT qid FROM high WHERE rank <= {fixed.HIGH_DEGREE}) THEN 'S4/Degree2Plus' END,
-    CASE WHEN qid IN (SELECT qid FROM high WHERE rank <= {fixed.HIGH_DEGREE}) THEN 'S4/HighDegree' END,
-    CASE WHEN p279 IS NULL THEN 'S5/Degree0' END, CASE WHEN p279 = 1 THEN 'S5/Degree1' END, CASE WHEN p279 >= 2 THEN 'S5/Degree2Plus' END,
-    CASE WHEN p279 = 1 THEN 'G1/Degree1' END, CASE WHEN p279 >= 2 THEN 'G1/Degree2Plus' END,
-    CASE WHEN in_t1 AND p31 = 1 THEN 'G2/P31Degree1' END, CASE WHEN in_t1 AND p31 >= 2 THEN 'G2/P31Degree2Plus' END],
-    lambda x: x IS NOT NULL)) AS pool FROM deg),
-lex_pools AS (
-  SELECT Lang AS lang, Value AS value, 'S2/' || CASE WHEN n = 1 THEN 'Fanout1' WHEN n <= 5 THEN 'Fanout2To5' WHEN n <= 50 THEN 'Fanout6To50' ELSE 'Fanout51Plus' END AS pool
-  FROM (SELECT Lang, Value, count(*) AS n FROM lexical_entry GROUP BY 1, 2))"""
+SERVING = ("S1", "S2", "S3", "S4", "S5")
+MADE = ("S1/Absent", "S2/Miss")
 
 
 def degrees(spark: SparkSession, d: str) -> DataFrame:
@@ -84,16 +36,16 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _high(deg: DataFrame) -> DataFrame:
+def high_degree(deg: DataFrame, domain: str) -> DataFrame:
     """The 500 T1 concepts with the most links: by degree, then hash, then id (a top-k report)."""
-    h = canon.rank_hash("S4", "HighDegree", F.col("qid").cast("string"))
+    h = canon.rank_hash("S4", "HighDegree", F.col("qid").cast("string"), domain)
     return deg.where("in_t1 and p31 >= 1").withColumn("h", h).orderBy(F.desc("p31"), "h", "qid").limit(fixed.HIGH_DEGREE)
 
 
-def pools(spark: SparkSession, d: str) -> DataFrame:
+def pools(spark: SparkSession, d: str, c: Contract) -> DataFrame:
     """(qid, pool): every pool a concept belongs to."""
     deg = degrees(spark, d)
-    deg = deg.join(F.broadcast(_high(deg).select("qid", F.lit(True).alias("high"))), "qid", "left")  # 500 rows
+    deg = deg.join(F.broadcast(high_degree(deg, c.selection_domain).select("qid", F.lit(True).alias("high"))), "qid", "left")  # 500 rows
     t1, t2, tail, lex = (F.col(c) for c in ("in_t1", "in_t2", "tail", "has_lexical"))
     high = F.coalesce("high", F.lit(False))
     p31, p279 = F.col("p31"), F.col("p279")
@@ -109,365 +61,306 @@ def pools(spark: SparkSession, d: str) -> DataFrame:
     return deg.select("qid", F.explode(named).alias("pool"))
 
 
-def lexical_pools(spark: SparkSession, d: str) -> DataFrame:
+def ranges(c: Contract) -> list[tuple[str, int]]:
+    """(pool, least fanout) of the contract's S2 ranges, from the highest: they are one partition, so the least is enough."""
+    return sorted(((f"S2/{s.stratum}", s.fanout[0]) for s in c.strata if s.operation == "S2" and s.fanout), key=lambda x: -x[1])
+
+
+def lexical_pools(spark: SparkSession, d: str, c: Contract) -> DataFrame:
     """(lang, value, pool) of each (language, text) key by its number of rows."""
     n = table(spark, d, "lexical_entry").groupBy(F.col("Lang").alias("lang"), F.col("Value").alias("value")).agg(F.count("*").alias("n"))
-    name = F.when(F.col("n") == 1, "Fanout1").when(F.col("n") <= 5, "Fanout2To5").when(F.col("n") <= 50, "Fanout6To50").otherwise("Fanout51Plus")
-    return n.select("lang", "value", F.concat(F.lit("S2/"), name).alias("pool"))
+    pool = F.coalesce(*(F.when(F.col("n") >= low, F.lit(name)) for name, low in ranges(c)))
+    return n.select("lang", "value", pool.alias("pool"))
 
 
-_SIZES = f"WITH {DEGREES} SELECT pool, count(*) AS n FROM (SELECT pool FROM pools UNION ALL SELECT pool FROM lex_pools) GROUP BY 1"
+def tails(spark: SparkSession, d: str) -> DataFrame:
+    return tiers.profiled(table(spark, d, "concept"), table(spark, d, "lexical_entry")).where("tail").select("qid")
 
 
-@query(_SIZES)
-def pool_cardinalities(spark: SparkSession, d: str) -> DataFrame:
-    """Members of each pool that has any."""
-    both = pools(spark, d).select("pool").unionByName(lexical_pools(spark, d).select("pool"))
-    return both.groupBy("pool").agg(F.count("*").alias("n"))
+def pool_sizes(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(pool, n): members of each pool that has any, the tail among them."""
+    named = tails(spark, d).select(F.lit("S1/Tail").alias("pool"))
+    every = pools(spark, d, c).select("pool").unionByName(lexical_pools(spark, d, c).select("pool")).unionByName(named)
+    return every.groupBy("pool").agg(F.count("*").alias("n"))
 
 
-_NEEDED = [f"{op}/{s}" for op, names in STRATA.items() for s in names if s not in ("Absent", "Miss")]
+def gated(c: Contract) -> list[tuple[str, str, int]]:
+    return [(f"{s.operation}/{s.stratum}", s.mode, s.count) for s in c.strata + c.tail if s.mode != "generated-miss"] + [
+        (f"G2/{name}", "sha256-ranked-sample", n) for name, n in c.g2
+    ]
 
 
-@query(f"""
-SELECT n.pool, {PER_STRATUM} AS needed, coalesce(s.n, 0) AS have, CASE WHEN coalesce(s.n, 0) >= {PER_STRATUM} THEN 'GO' ELSE 'HOLD' END AS verdict
-FROM (VALUES {', '.join(f"('{p}')" for p in _NEEDED)}) n(pool) LEFT JOIN ({_SIZES}) s ON s.pool = n.pool""")
-def census_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each pool is large enough for the plan."""
-    names = spark.createDataFrame([(p,) for p in _NEEDED], "pool string")
+def gates(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(pool, mode, needed, have, verdict): whether each pool has the contract's count, and those that are taken whole
+    exactly the expected one."""
+    names = spark.createDataFrame(gated(c), "pool string, mode string, needed int")
     have = F.coalesce("n", F.lit(0))
-    return names.join(pool_cardinalities(spark, d), "pool", "left").select(
-        "pool", F.lit(PER_STRATUM).alias("needed"), have.alias("have"), F.when(have >= PER_STRATUM, "GO").otherwise("HOLD").alias("verdict")
-    )
+    go = F.when(F.col("mode") == "all-eligible", have == F.col("needed")).otherwise(have >= F.col("needed"))
+    return names.join(pool_sizes(spark, d, c), "pool", "left").select("pool", "mode", "needed", have.alias("have"), F.when(go, "GO").otherwise("HOLD").alias("verdict"))
 
 
-# ---- ranked samples ----
-def ranked(rows: DataFrame, identity: Column, tie: list[Column], n: int | None) -> DataFrame:
-    """The first n of each pool by hash, all without n; each task keeps its own first n before the shuffle (window group limit)."""
+def ranked(rows: DataFrame, identity: Column, tie: list[Column], needs: dict[str, int | None], domain: str) -> DataFrame:
+    """The first ones of each pool of ``needs`` by hash, as many as it says, all where it says None. Each task keeps its own
+    first ones before the shuffle (window group limit)."""
     parts = F.split("pool", "/")
-    hashed = rows.withColumn("h", canon.rank_hash(parts[0], parts[1], identity))
-    out = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("h", *tie)))
-    return out if n is None else out.where(F.col("rank") <= n)
-
-
-_RANK = f"""
-r AS (SELECT pool, qid, row_number() OVER (PARTITION BY pool ORDER BY
-  {_hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", 'CAST(qid AS VARCHAR)')}, qid) AS rank FROM pools),
-lr AS (SELECT pool, lang, value, row_number() OVER (PARTITION BY pool ORDER BY
-  {_hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", "to_base64(unhex(lpad(hex(CAST(strlen(lang) AS BIGINT)), 8, '0') || hex(lang) || lpad(hex(CAST(strlen(value) AS BIGINT)), 8, '0') || hex(value)))")},
-  lang, value) AS rank FROM lex_pools)"""
-
-
-@query(f"WITH {DEGREES}, {_RANK} SELECT pool, rank, qid FROM r WHERE rank <= {PER_STRATUM}")
-def rank_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The hash-ranked sample of every pool of concepts."""
-    return ranked(pools(spark, d), F.col("qid").cast("string"), [F.col("qid")], PER_STRATUM).select("pool", "rank", "qid")
-
-
-@query(f"WITH {DEGREES}, {_RANK} SELECT pool, rank, lang, value FROM lr WHERE rank <= {PER_STRATUM}")
-def rank_sample_lexical(spark: SparkSession, d: str) -> DataFrame:
-    """The hash-ranked sample of every pool of (language, text) keys."""
-    out = ranked(lexical_pools(spark, d), canon.lexical_identity("lang", "value"), [canon.ordinal("lang"), canon.ordinal("value")], PER_STRATUM)
+    out = []
+    counts = {p: n for p, n in needs.items() if n}
+    whole = [p for p, n in needs.items() if n is None]
+    for wanted, most in ((list(counts), max(counts.values(), default=0)), (whole, None)):
+        if not wanted:
+            continue
+        hashed = rows.where(F.col("pool").isin(wanted)).withColumn("h", canon.rank_hash(parts[0], parts[1], identity, domain))
+        first = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("h", *tie)))
+        if most:
+            limit = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
+            first = first.where(F.col("rank") <= most).where(F.col("rank") <= limit[F.col("pool")])
+        out.append(first)
+    return reduce(DataFrame.unionByName, out) if out else rows.limit(0).withColumns({"h": F.lit(""), "rank": F.lit(1)})
+
+
+def samples(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(pool, rank, qid) of every sampled pool of concepts."""
+    needs = {p: n for p, n in c.needs("S1", "S3", "S4", "S5").items() if p not in MADE}
+    return ranked(pools(spark, d, c), F.col("qid").cast("string"), [F.col("qid")], needs, c.selection_domain).select("pool", "rank", "qid")
+
+
+def lexical_samples(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(pool, rank, lang, value) of every pool of (language, text) keys."""
+    needs = {p: n for p, n in c.needs("S2").items() if p not in MADE}
+    out = ranked(lexical_pools(spark, d, c), canon.lexical_identity("lang", "value"), [canon.ordinal("lang"), canon.ordinal("value")], needs, c.selection_domain)
     return out.select("pool", "rank", "lang", "value")
 
 
-@query(f"WITH {DEGREES} SELECT rank, qid, degree FROM high WHERE rank <= {fixed.HIGH_DEGREE}")
-def s4_high_degree(spark: SparkSession, d: str) -> DataFrame:
-    """The 500 concepts with the most instance-of links."""
-    top = _high(degrees(spark, d))
-    rank = F.row_number().over(Window.orderBy(F.desc("p31"), "h", "qid"))  # of 500 rows
-    return top.select(rank.alias("rank"), "qid", F.col("p31").alias("degree"))
-
-
-# ---- misses ----
-_SLACK = 64
-
+def _made(spark: SparkSession, n: int, domain: str, pool: str, keep) -> DataFrame:
+    """The first ``n`` by counter of what ``keep`` leaves of generated candidates. More are generated until there are enough."""
+    op, stratum = pool.split("/")
+    most = n + 64
+    while True:
+        made = spark.range(most).select(F.col("id").alias("counter"), canon.rank_hash(op, stratum, F.col("id").cast("string"), domain).alias("h"))
+        kept = keep(made).orderBy("counter").limit(n)
+        if n == 0 or kept.count() == n:
+            return kept
+        most *= 2
 
-def _counters(spark: SparkSession, domain: str, op: str, stratum: str, n: int) -> DataFrame:
-    return spark.range(n + _SLACK).select(F.col("id").alias("counter"), canon.rank_hash(op, stratum, F.col("id").cast("string"), domain).alias("h"))
 
+def concept_misses(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(rank, qid): generated concept ids that are proven absent."""
+    known = table(spark, d, "concept").select(F.col("Qid").alias("qid"))
 
-def _concept_misses_sql(n: int) -> str:
-    return f"""
-WITH g AS (SELECT range AS counter, {_hash_sql("'S1'", "'Absent'", 'CAST(range AS VARCHAR)', fixed.CONCEPT_MISS_DOMAIN)} AS h FROM range({n + _SLACK})),
-c AS (SELECT counter, h, CAST(('0x' || substr(h, 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS qid FROM g),
-a AS (SELECT qid, min(counter) AS counter, min_by(h, counter) AS h FROM c WHERE qid > 0 AND qid NOT IN (SELECT Qid FROM concept) GROUP BY 1),
-f AS (SELECT * FROM a ORDER BY counter LIMIT {n})
-SELECT row_number() OVER (ORDER BY h, qid) AS rank, qid FROM f"""
-
+    def keep(made: DataFrame) -> DataFrame:
+        high, low = (F.conv(F.substring("h", i, 8), 16, 10).cast("bigint") for i in (1, 9))
+        ids = made.withColumn("qid", F.shiftleft(high.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(low))
+        absent = ids.where("qid > 0").join(known, "qid", "left_anti")
+        return absent.groupBy("qid").agg(F.min("counter").alias("counter"), F.min_by("h", "counter").alias("h"))
 
-def _concept_misses(spark: SparkSession, d: str, n: int) -> DataFrame:
-    high, low = (F.conv(F.substring("h", i, 8), 16, 10).cast("bigint") for i in (1, 9))
-    made = _counters(spark, fixed.CONCEPT_MISS_DOMAIN, "S1", "Absent", n).withColumn(
-        "qid", F.shiftleft(high.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(low)
-    )
-    absent = made.where("qid > 0").join(table(spark, d, "concept").select(F.col("Qid").alias("qid")), "qid", "left_anti")
-    first = absent.groupBy("qid").agg(F.min("counter").alias("counter"), F.min_by("h", "counter").alias("h")).orderBy("counter").limit(n)
-    return first.select(F.row_number().over(Window.orderBy("h", "qid")).alias("rank"), "qid")  # of n rows
+    first = _made(spark, c.needs("S1")["S1/Absent"], c.concept_miss_domain, "S1/Absent", keep)
+    return first.select(F.row_number().over(Window.orderBy("h", "qid")).alias("rank"), "qid")  # of the contract's count
 
 
-@query(_concept_misses_sql(PER_STRATUM))
-def concept_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Generated concept ids that are proven absent."""
-    return _concept_misses(spark, d, PER_STRATUM)
+def lexical_misses(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(rank, lang, value): generated (language, text) keys that are proven absent."""
+    known = table(spark, d, "lexical_entry").where(F.col("Lang") == c.miss_language).select(F.col("Value").alias("value"))
 
+    def keep(made: DataFrame) -> DataFrame:
+        return made.withColumn("value", F.concat(F.lit(fixed.MISS_PREFIX), F.substring("h", 1, 24))).join(known, "value", "left_anti")
 
-def _lexical_misses_sql(n: int) -> str:
-    return f"""
-WITH g AS (SELECT range AS counter, {_hash_sql("'S2'", "'Miss'", 'CAST(range AS VARCHAR)', fixed.LEXICAL_MISS_DOMAIN)} AS h FROM range({n + _SLACK})),
-c AS (SELECT counter, h, '{fixed.MISS_LANGUAGE}' AS lang, '{fixed.MISS_PREFIX}' || substr(h, 1, 24) AS value FROM g),
-a AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM lexical_entry l WHERE l.Lang = c.lang AND l.Value = c.value)),
-f AS (SELECT * FROM a ORDER BY counter LIMIT {n})
-SELECT row_number() OVER (ORDER BY h, value) AS rank, lang, value FROM f"""
+    first = _made(spark, c.needs("S2")["S2/Miss"], c.lexical_miss_domain, "S2/Miss", keep)
+    rank = F.row_number().over(Window.orderBy("h", "value"))  # of the contract's count
+    return first.select(rank.alias("rank"), F.lit(c.miss_language).alias("lang"), "value")
 
 
-def _lexical_misses(spark: SparkSession, d: str, n: int) -> DataFrame:
-    made = _counters(spark, fixed.LEXICAL_MISS_DOMAIN, "S2", "Miss", n).select(
-        "counter", "h", F.lit(fixed.MISS_LANGUAGE).alias("lang"), F.concat(F.lit(fixed.MISS_PREFIX), F.substring("h", 1, 24)).alias("value")
-    )
-    known = table(spark, d, "lexical_entry").select(F.col("Lang").alias("lang"), F.col("Value").alias("value"))
-    first = made.join(known, ["lang", "value"], "left_anti").orderBy("counter").limit(n)
-    return first.select(F.row_number().over(Window.orderBy("h", "value")).alias("rank"), "lang", "value")  # of n rows
-
-
-@query(_lexical_misses_sql(PER_STRATUM))
-def lexical_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Generated (language, text) keys that are proven absent."""
-    return _lexical_misses(spark, d, PER_STRATUM)
-
-
-# ---- the plan ----
-_PLACES = [(f"{op}/{s}", int(op[1]), i) for op, names in STRATA.items() for i, s in enumerate(names)]
-_PLAN = f"""
-WITH {DEGREES}, {_RANK},
-chosen AS (
-  SELECT pool, rank, qid, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS value FROM r WHERE rank <= {PER_STRATUM}
-  UNION ALL SELECT pool, rank, NULL, lang, value FROM lr WHERE rank <= {PER_STRATUM}
-  UNION ALL SELECT 'S1/Absent', rank, qid, NULL, NULL FROM ({SQL['concept_misses']})
-  UNION ALL SELECT 'S2/Miss', rank, NULL, lang, value FROM ({SQL['lexical_misses']})),
-place(pool, op, stratum) AS (VALUES {', '.join(f"('{p}', {o}, {i})" for p, o, i in _PLACES)})
-SELECT row_number() OVER (ORDER BY p.op, c.rank, p.stratum) - 1 AS seq, split_part(c.pool, '/', 1) AS op, split_part(c.pool, '/', 2) AS stratum,
-  c.qid, c.lang, c.value FROM chosen c JOIN place p ON p.pool = c.pool"""
+def places(c: Contract) -> list[tuple[str, int, int]]:
+    """(pool, place of the operation, place of the stratum in it)."""
+    out = []
+    for i, op in enumerate(SERVING):
+        out += [(f"{op}/{s.stratum}", i, j) for j, s in enumerate(s for s in c.strata if s.operation == op)]
+    return out
 
 
-@query(_PLAN)
-def serving_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The probes of all lookups in their sequence: strata of an operation take turns by rank. The plan's size is the
-    contract's, not the data's."""
+def plan(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(seq, op, stratum, qid, lang, value, measured): the probes of all lookups in their sequence, strata of an operation
+    taking turns by rank; after them every tail concept by id, unmeasured. A pool that is too small gives what it has (see
+    ``gates``). Pools that are taken whole and tails grow with the data, so both are numbered by ranges."""
+    scratch = Scratch(spark, "plan")
     none = F.lit(None).cast("string")
     chosen = [
-        rank_sample(spark, d).select("pool", "rank", "qid", none.alias("lang"), none.alias("value")),
-        rank_sample_lexical(spark, d).select("pool", "rank", none.cast("bigint").alias("qid"), "lang", "value"),
-        concept_misses(spark, d).select(F.lit("S1/Absent").alias("pool"), "rank", "qid", none.alias("lang"), none.alias("value")),
-        lexical_misses(spark, d).select(F.lit("S2/Miss").alias("pool"), "rank", none.cast("bigint").alias("qid"), "lang", "value"),
+        samples(spark, d, c).select("pool", "rank", "qid", none.alias("lang"), none.alias("value")),
+        lexical_samples(spark, d, c).select("pool", "rank", none.cast("bigint").alias("qid"), "lang", "value"),
+        concept_misses(spark, d, c).select(F.lit("S1/Absent").alias("pool"), "rank", "qid", none.alias("lang"), none.alias("value")),
+        lexical_misses(spark, d, c).select(F.lit("S2/Miss").alias("pool"), "rank", none.cast("bigint").alias("qid"), "lang", "value"),
     ]
-    place = spark.createDataFrame(_PLACES, "pool string, at int, stratum_at int")
-    rows = reduce(DataFrame.unionByName, chosen).join(F.broadcast(place), "pool")
+    place = spark.createDataFrame(places(c), "pool string, at int, stratum_at int")
+    rows = reduce(DataFrame.unionByName, chosen).join(F.broadcast(place), "pool")  # one row per stratum
     parts = F.split("pool", "/")
-    return rows.select(
-        (F.row_number().over(Window.orderBy("at", "rank", "stratum_at")) - 1).alias("seq"), parts[0].alias("op"), parts[1].alias("stratum"),
-        "qid", "lang", "value",
+    laid = scratch.cut(global_rank(rows, ["at", "rank", "stratum_at"], "seq", scratch).select("seq", parts[0].alias("op"), parts[1].alias("stratum"), "qid", "lang", "value"))
+    tail = global_rank(tails(spark, d), ["qid"], "i", scratch).select(
+        (F.col("i") + laid.count()).alias("seq"), F.lit("S1").alias("op"), F.lit("Tail").alias("stratum"), "qid", none.alias("lang"), none.alias("value"),
+        F.lit(False).alias("measured"),
     )
+    return laid.withColumn("measured", F.lit(True)).unionByName(tail)
 
 
-@query(f"""
-SELECT row_number() OVER (ORDER BY seq) - 1 AS place, stratum, qid FROM ({_PLAN}) WHERE op = 'S5'""")
-def probe_interleave(spark: SparkSession, d: str) -> DataFrame:
-    """The order in which the strata of one lookup take turns."""
-    place = F.row_number().over(Window.partitionBy("op").orderBy("seq")) - 1
-    return serving_plan(spark, d).where("op = 'S5'").select(place.alias("place"), "stratum", "qid")
-
-
-def _with_tail_sql(plan: str) -> str:
-    return f"""
-WITH {PROFILED}, plan AS ({plan}), tails AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i FROM profiled WHERE tail)
-SELECT seq, op, stratum, qid, lang, value, true AS measured FROM plan
-UNION ALL SELECT (SELECT count(*) FROM plan) + i, 'S1', 'Tail', qid, NULL, NULL, false FROM tails"""
+def g1_starts(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(stratum, rank, qid, visited): the first starts of each stratum by hash whose ancestry stays within the guard."""
+    cand = pools(spark, d, c).where("pool like 'G1/%'")
+    met = traversal.ancestry(cand.select(F.col("qid").alias("seed")), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"), c.max_depth)
+    n = met.groupBy(F.col("seed").alias("qid")).agg((F.count("*") + 1).alias("n"))
+    fit = cand.join(n, "qid", "left").withColumn("visited", F.coalesce("n", F.lit(1))).where(F.col("visited") <= c.guard)
+    out = ranked(fit.select("pool", "qid", "visited"), F.col("qid").cast("string"), [F.col("qid")], c.needs("G1"), c.selection_domain)
+    return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "visited")
 
 
-def with_tail(spark: SparkSession, d: str, plan: DataFrame, scratch: Scratch) -> DataFrame:
-    """The measured probes and, after them, every tail concept by id as an unmeasured one. Tails grow with the data, so
-    they are numbered by ranges."""
-    plan = scratch.cut(plan)
-    tail = tiers.profiled(table(spark, d, "concept"), table(spark, d, "lexical_entry")).where("tail").select("qid")
-    numbered = global_rank(tail, ["qid"], "i", scratch)
-    none = F.lit(None).cast("string")
-    last = numbered.select(
-        (F.col("i") + plan.count()).alias("seq"), F.lit("S1").alias("op"), F.lit("Tail").alias("stratum"), "qid", none.alias("lang"), none.alias("value"),
-        F.lit(False).alias("measured"),
-    )
-    return plan.withColumn("measured", F.lit(True)).unionByName(last)
+def g2_inputs(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(stratum, rank, qid, max_visited): the first concepts of each stratum by hash none of whose targets has an ancestry
+    beyond the guard."""
+    cand = pools(spark, d, c).where("pool like 'G2/%'")
+    direct = table(spark, d, "instance_of").select(F.col("SubjectQid").alias("qid"), F.col("TargetQid").alias("seed")).distinct()
+    direct = direct.join(cand.select("qid").distinct(), "qid", "left_semi")
+    met = traversal.ancestry(direct.select("seed"), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"), c.max_depth)
+    n = met.groupBy("seed").agg((F.count("*") + 1).alias("n"))
+    most = direct.join(n, "seed", "left").groupBy("qid").agg(F.max(F.coalesce("n", F.lit(1))).alias("max_visited"))
+    fit = cand.join(most, "qid").where(F.col("max_visited") <= c.guard)
+    needs = {f"G2/{name}": n for name, n in c.g2}
+    out = ranked(fit.select("pool", "qid", "max_visited"), F.col("qid").cast("string"), [F.col("qid")], needs, c.selection_domain)
+    return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "max_visited")
 
 
-@query(_with_tail_sql(_PLAN))
-def serving_plan_full(spark: SparkSession, d: str) -> DataFrame:
-    """``serving_plan`` with the correctness tail: every tail concept after S5."""
-    return with_tail(spark, d, serving_plan(spark, d), Scratch(spark, "plan"))
+def interleaved(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(place, stratum, qid): the order in which the strata of one lookup take turns."""
+    place = F.row_number().over(Window.partitionBy("op").orderBy("seq")) - 1  # of the contract's count
+    return plan(spark, d, c).where("op = 'S5'").select(place.alias("place"), "stratum", "qid")
 
 
-# ---- the contract's plan ----
-#: Probes of each serving stratum; none where all eligible ones are taken.
-SERVING = {f"{s.operation}/{s.stratum}": None if s.mode == "all-eligible" else s.count for s in CONTRACT.strata if s.operation != "G1"}
-_MADE = ("S1/Absent", "S2/Miss")
-_SAMPLED = [p for p, n in SERVING.items() if n and p not in _MADE]
-_WHOLE = [p for p, n in SERVING.items() if n is None]
-_GATED = [(f"{s.operation}/{s.stratum}", s.mode, s.expected if s.mode == "all-eligible" else s.count) for s in CONTRACT.strata + CONTRACT.tail if s.mode != "generated-miss"]
-_NEEDS = f"need(pool, n) AS (VALUES {', '.join(f"('{p}', {'CAST(NULL AS BIGINT)' if n is None else n})" for p, n in SERVING.items() if p not in _MADE)})"
+def top_degrees(spark: SparkSession, d: str, c: Contract) -> DataFrame:
+    """(rank, qid, degree): the 500 concepts with the most instance-of links."""
+    top = high_degree(degrees(spark, d), c.selection_domain)
+    rank = F.row_number().over(Window.orderBy(F.desc("p31"), "h", "qid"))  # of 500 rows
+    return top.select(rank.alias("rank"), "qid", F.col("p31").alias("degree"))
 
 
-@query(f"""
-WITH sizes AS ({_SIZES} UNION ALL SELECT 'S1/Tail', count(*) FROM (WITH {PROFILED} SELECT qid FROM profiled WHERE tail)),
-gate(pool, mode, needed) AS (VALUES {', '.join(f"('{p}', '{m}', {n})" for p, m, n in _GATED)})
-SELECT g.pool, g.mode, g.needed, coalesce(s.n, 0) AS have,
-  CASE WHEN g.mode = 'all-eligible' AND coalesce(s.n, 0) = g.needed OR g.mode <> 'all-eligible' AND coalesce(s.n, 0) >= g.needed THEN 'GO' ELSE 'HOLD' END AS verdict
-FROM gate g LEFT JOIN sizes s ON s.pool = g.pool""")
-def contract_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each pool has the contract's count, and pools that are taken whole exactly the expected one."""
-    gates = spark.createDataFrame(_GATED, "pool string, mode string, needed int")
-    tail = tiers.profiled(table(spark, d, "concept"), table(spark, d, "lexical_entry")).where("tail").agg(F.count("*").alias("n"))
-    sizes = pool_cardinalities(spark, d).unionByName(tail.select(F.lit("S1/Tail").alias("pool"), "n"))
-    have = F.coalesce("n", F.lit(0))
-    go = F.when(F.col("mode") == "all-eligible", have == F.col("needed")).otherwise(have >= F.col("needed"))
-    return gates.join(sizes, "pool", "left").select("pool", "mode", "needed", have.alias("have"), F.when(go, "GO").otherwise("HOLD").alias("verdict"))
+# ---- the same in SQL ----
+def _hash_sql(op: str, stratum: str, identity: str, domain: str) -> str:
+    return f"sha256('{domain}' || chr(31) || {op} || chr(31) || {stratum} || chr(31) || {identity})"
 
 
-def _contract_ranked(rows: DataFrame, identity: Column, tie: list[Column]) -> DataFrame:
-    """The contract's first ones of each pool; pools that are taken whole keep every member."""
-    needs = F.create_map(*(F.lit(x) for p, n in SERVING.items() if n for x in (p, n)))
-    first = ranked(rows.where(F.col("pool").isin(_SAMPLED)), identity, tie, max(filter(None, SERVING.values())))
-    return first.where(F.col("rank") <= needs[F.col("pool")]).unionByName(ranked(rows.where(F.col("pool").isin(_WHOLE)), identity, tie, None))
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("CAST(NULL AS BIGINT)" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-def _contract_samples(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    concepts = _contract_ranked(pools(spark, d), F.col("qid").cast("string"), [F.col("qid")])
-    keys = _contract_ranked(lexical_pools(spark, d), canon.lexical_identity("lang", "value"), [canon.ordinal("lang"), canon.ordinal("value")])
-    return concepts.select("pool", "rank", "qid", none.alias("lang"), none.alias("value")).unionByName(
-        keys.select("pool", "rank", none.cast("bigint").alias("qid"), "lang", "value")
-    )
-
+class Statements:
+    """The SQL of every query under one contract."""
 
-_CONTRACT_SAMPLES = f"""
-WITH {DEGREES}, {_RANK}, {_NEEDS}
-SELECT r.pool, rank, qid, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS value FROM r JOIN need ON need.pool = r.pool WHERE n IS NULL OR rank <= n
-UNION ALL SELECT lr.pool, rank, NULL, lang, value FROM lr JOIN need ON need.pool = lr.pool WHERE n IS NULL OR rank <= n"""
-_CONTRACT_PLAN = f"""
+    def __init__(self, c: Contract):
+        dom = c.selection_domain
+        own = _hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", "CAST(qid AS VARCHAR)", dom)
+        key = "to_base64(unhex(lpad(hex(CAST(strlen(lang) AS BIGINT)), 8, '0') || hex(lang) || lpad(hex(CAST(strlen(value) AS BIGINT)), 8, '0') || hex(value)))"
+        bins = " ".join(f"WHEN n >= {low} THEN '{name}'" for name, low in ranges(c))
+        deg = f"""
+{PROFILED},
+deg AS (SELECT p.*, coalesce(i.n, 0) AS p31, s.n AS p279 FROM profiled p
+  LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM instance_of GROUP BY 1) i ON i.SubjectQid = p.qid
+  LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM subclass_of GROUP BY 1) s ON s.SubjectQid = p.qid),
+high AS (SELECT qid, p31 AS degree, row_number() OVER (ORDER BY p31 DESC, {_hash_sql("'S4'", "'HighDegree'", 'CAST(qid AS VARCHAR)', dom)}, qid) AS rank
+  FROM deg WHERE in_t1 AND p31 >= 1),
+pools AS (
+  SELECT qid, unnest(list_filter([
+    CASE WHEN in_t1 AND NOT in_t2 THEN 'S1/T1Only' END, CASE WHEN NOT in_t1 AND in_t2 AND NOT tail THEN 'S1/T2Only' END,
+    CASE WHEN in_t1 AND in_t2 THEN 'S1/T1IntersectT2' END, CASE WHEN in_t1 AND has_lexical THEN 'S3/T1WithLexical' END,
+    CASE WHEN NOT in_t1 AND in_t2 AND NOT tail AND has_lexical THEN 'S3/T2OnlyWithLexical' END,
+    CASE WHEN NOT has_lexical AND NOT tail THEN 'S3/ConceptNoLexical' END,
+    CASE WHEN in_t1 AND p31 = 0 THEN 'S4/Degree0' END, CASE WHEN in_t1 AND p31 = 1 THEN 'S4/Degree1' END,
+    CASE WHEN in_t1 AND p31 >= 2 AND qid NOT IN (SELECT qid FROM high WHERE rank <= {fixed.HIGH_DEGREE}) THEN 'S4/Degree2Plus' END,
+    CASE WHEN qid IN (SELECT qid FROM high WHERE rank <= {fixed.HIGH_DEGREE}) THEN 'S4/HighDegree' END,
+    CASE WHEN p279 IS NULL THEN 'S5/Degree0' END, CASE WHEN p279 = 1 THEN 'S5/Degree1' END, CASE WHEN p279 >= 2 THEN 'S5/Degree2Plus' END,
+    CASE WHEN p279 = 1 THEN 'G1/Degree1' END, CASE WHEN p279 >= 2 THEN 'G1/Degree2Plus' END,
+    CASE WHEN in_t1 AND p31 = 1 THEN 'G2/P31Degree1' END, CASE WHEN in_t1 AND p31 >= 2 THEN 'G2/P31Degree2Plus' END],
+    lambda x: x IS NOT NULL)) AS pool FROM deg),
+lex_pools AS (
+  SELECT Lang AS lang, Value AS value, CASE {bins} END AS pool FROM (SELECT Lang, Value, count(*) AS n FROM lexical_entry GROUP BY 1, 2))"""
+        rank = f"""
+need(pool, n) AS (VALUES {_values([(p, n) for p, n in c.needs(*SERVING).items() if p not in MADE])}),
+r AS (SELECT pool, qid, row_number() OVER (PARTITION BY pool ORDER BY {own}, qid) AS rank FROM pools),
+lr AS (SELECT pool, lang, value, row_number() OVER (PARTITION BY pool ORDER BY
+  {_hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", key, dom)}, lang, value) AS rank FROM lex_pools)"""
+        self.sizes = f"""WITH {deg} SELECT pool, count(*) AS n FROM (SELECT pool FROM pools UNION ALL SELECT pool FROM lex_pools
+  UNION ALL SELECT 'S1/Tail' FROM profiled WHERE tail) GROUP BY 1"""
+        self.gates = f"""
+SELECT g.pool, g.mode, g.needed, coalesce(s.n, 0) AS have,
+  CASE WHEN g.mode = 'all-eligible' AND coalesce(s.n, 0) = g.needed OR g.mode <> 'all-eligible' AND coalesce(s.n, 0) >= g.needed THEN 'GO' ELSE 'HOLD' END AS verdict
+FROM (VALUES {_values(gated(c))}) g(pool, mode, needed) LEFT JOIN ({self.sizes}) s ON s.pool = g.pool"""
+        self.samples = f"WITH {deg}, {rank} SELECT r.pool, rank, qid FROM r JOIN need ON need.pool = r.pool WHERE n IS NULL OR rank <= n"
+        self.lexical_samples = f"WITH {deg}, {rank} SELECT lr.pool, rank, lang, value FROM lr JOIN need ON need.pool = lr.pool WHERE n IS NULL OR rank <= n"
+        self.high = f"WITH {deg} SELECT rank, qid, degree FROM high WHERE rank <= {fixed.HIGH_DEGREE}"
+        # twice what is asked for and a thousand: that so many of them exist already has no chance worth a number
+        n, m = c.needs("S1")["S1/Absent"], c.needs("S2")["S2/Miss"]
+        self.concept_misses = f"""
+WITH g AS (SELECT range AS counter, {_hash_sql("'S1'", "'Absent'", 'CAST(range AS VARCHAR)', c.concept_miss_domain)} AS h FROM range({2 * n + 1000})),
+c AS (SELECT counter, h, CAST(('0x' || substr(h, 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS qid FROM g),
+a AS (SELECT qid, min(counter) AS counter, min_by(h, counter) AS h FROM c WHERE qid > 0 AND qid NOT IN (SELECT Qid FROM concept) GROUP BY 1),
+f AS (SELECT * FROM a ORDER BY counter LIMIT {n})
+SELECT row_number() OVER (ORDER BY h, qid) AS rank, qid FROM f"""
+        self.lexical_misses = f"""
+WITH g AS (SELECT range AS counter, {_hash_sql("'S2'", "'Miss'", 'CAST(range AS VARCHAR)', c.lexical_miss_domain)} AS h FROM range({2 * m + 1000})),
+c AS (SELECT counter, h, '{c.miss_language}' AS lang, '{fixed.MISS_PREFIX}' || substr(h, 1, 24) AS value FROM g),
+a AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM lexical_entry l WHERE l.Lang = c.lang AND l.Value = c.value)),
+f AS (SELECT * FROM a ORDER BY counter LIMIT {m})
+SELECT row_number() OVER (ORDER BY h, value) AS rank, lang, value FROM f"""
+        measured = f"""
 WITH chosen AS (
-  SELECT pool, rank, qid, lang, value FROM ({_CONTRACT_SAMPLES})
-  UNION ALL SELECT 'S1/Absent', rank, qid, NULL, NULL FROM ({_concept_misses_sql(SERVING["S1/Absent"])})
-  UNION ALL SELECT 'S2/Miss', rank, NULL, lang, value FROM ({_lexical_misses_sql(SERVING["S2/Miss"])})),
-place(pool, op, stratum) AS (VALUES {', '.join(f"('{p}', {o}, {i})" for p, o, i in _PLACES)})
+  SELECT pool, rank, qid, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS value FROM ({self.samples})
+  UNION ALL SELECT pool, rank, NULL, lang, value FROM ({self.lexical_samples})
+  UNION ALL SELECT 'S1/Absent', rank, qid, NULL, NULL FROM ({self.concept_misses})
+  UNION ALL SELECT 'S2/Miss', rank, NULL, lang, value FROM ({self.lexical_misses})),
+place(pool, op, stratum) AS (VALUES {_values(places(c))})
 SELECT row_number() OVER (ORDER BY p.op, c.rank, p.stratum) - 1 AS seq, split_part(c.pool, '/', 1) AS op, split_part(c.pool, '/', 2) AS stratum,
   c.qid, c.lang, c.value FROM chosen c JOIN place p ON p.pool = c.pool"""
+        self.plan = f"""
+WITH {PROFILED}, plan AS ({measured}), tails AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i FROM profiled WHERE tail)
+SELECT seq, op, stratum, qid, lang, value, true AS measured FROM plan
+UNION ALL SELECT (SELECT count(*) FROM plan) + i, 'S1', 'Tail', qid, NULL, NULL, false FROM tails"""
+        self.interleaved = f"SELECT row_number() OVER (ORDER BY seq) - 1 AS place, stratum, qid FROM ({measured}) WHERE op = 'S5'"
+        cand = f"WITH RECURSIVE {deg},\ncand AS (SELECT pool, qid, {own} AS h FROM pools)"
 
-
-@query(_CONTRACT_SAMPLES)
-def contract_samples(spark: SparkSession, d: str) -> DataFrame:
-    """The hash-ranked sample of every serving pool at the contract's count, all of the pools that it takes whole."""
-    return _contract_samples(spark, d)
-
-
-@query(_with_tail_sql(_CONTRACT_PLAN))
-def contract_plan(spark: SparkSession, d: str) -> DataFrame:
-    """``serving_plan_full`` at the contract's counts; a pool that is too small gives what it has, see ``contract_gates``."""
-    scratch = Scratch(spark, "contract")
-    none = F.lit(None).cast("string")
-    rows = (
-        _contract_samples(spark, d)
-        .unionByName(_concept_misses(spark, d, SERVING["S1/Absent"]).select(F.lit("S1/Absent").alias("pool"), "rank", "qid", none.alias("lang"), none.alias("value")))
-        .unionByName(_lexical_misses(spark, d, SERVING["S2/Miss"]).select(F.lit("S2/Miss").alias("pool"), "rank", none.cast("bigint").alias("qid"), "lang", "value"))
-    )
-    place = spark.createDataFrame(_PLACES, "pool string, at int, stratum_at int")
-    parts = F.split("pool", "/")
-    laid = global_rank(rows.join(F.broadcast(place), "pool"), ["at", "rank", "stratum_at"], "seq", scratch)
-    return with_tail(spark, d, laid.select("seq", parts[0].alias("op"), parts[1].alias("stratum"), "qid", "lang", "value"), scratch)
-
-
-# ---- guarded selections ----
-_SUB = "SELECT DISTINCT SubjectQid AS node, TargetQid AS parent FROM subclass_of"
-
-
-def _visited_sql(seeds: str) -> str:
-    return f"""
-e AS ({_SUB}),
-walk(seed, node, k) AS (SELECT seed, seed, 0 FROM ({seeds}) UNION SELECT w.seed, e.parent, w.k + 1 FROM walk w JOIN e ON e.node = w.node WHERE w.k < {fixed.MAX_DEPTH}),
+        def visited(seeds: str) -> str:
+            return f"""
+e AS (SELECT DISTINCT SubjectQid AS node, TargetQid AS parent FROM subclass_of),
+walk(seed, node, k) AS (SELECT seed, seed, 0 FROM ({seeds}) UNION SELECT w.seed, e.parent, w.k + 1 FROM walk w JOIN e ON e.node = w.node WHERE w.k < {c.max_depth}),
 visited AS (SELECT seed, count(DISTINCT node) AS n FROM walk GROUP BY 1)"""
 
-
-_G = f"""
-WITH RECURSIVE {DEGREES},
-cand AS (SELECT pool, qid, {_hash_sql("split_part(pool, '/', 1)", "split_part(pool, '/', 2)", 'CAST(qid AS VARCHAR)')} AS h FROM pools)"""
-
-
-def _count_sql(counts: dict[str, int]) -> str:
-    return f"CASE split_part(pool, '/', 2) {' '.join(f"WHEN '{s}' THEN {n}" for s, n in counts.items())} END"
-
-
-def _g1_sql(guard: int, n: int | str) -> str:
-    return f"""
-{_G}, {_visited_sql("SELECT DISTINCT qid AS seed FROM cand WHERE pool LIKE 'G1/%'")},
+        self.g1 = f"""
+{cand}, {visited("SELECT DISTINCT qid AS seed FROM cand WHERE pool LIKE 'G1/%'")}, need(pool, most) AS (VALUES {_values(list(c.needs("G1").items()))}),
 ok AS (SELECT c.*, v.n, row_number() OVER (PARTITION BY pool ORDER BY h, qid) AS rank FROM cand c JOIN visited v ON v.seed = c.qid
-  WHERE pool LIKE 'G1/%' AND v.n <= {guard})
-SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS visited FROM ok WHERE rank <= {n}"""
-
-
-def _counted(chosen: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """The rows of each stratum up to its own count."""
-    n = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))
-    return chosen.where(F.col("rank") <= n[F.col("stratum")])
-
-
-def _g1(spark: SparkSession, d: str, guard: int, count: int) -> DataFrame:
-    cand = pools(spark, d).where("pool like 'G1/%'")
-    met = traversal.ancestry(cand.select(F.col("qid").alias("seed")), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"))
-    n = met.groupBy(F.col("seed").alias("qid")).agg((F.count("*") + 1).alias("n"))
-    fit = cand.join(n, "qid", "left").withColumn("visited", F.coalesce("n", F.lit(1))).where(F.col("visited") <= guard)
-    out = ranked(fit.select("pool", "qid", "visited"), F.col("qid").cast("string"), [F.col("qid")], count)
-    return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "visited")
-
-
-@query(_g1_sql(GUARD, SELECTED))
-def g1_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The first starts of each stratum by hash whose ancestry stays within the guard."""
-    return _g1(spark, d, GUARD, SELECTED)
-
-
-@query(_g1_sql(fixed.VISITED_GUARD, _count_sql(G1_COUNT)))
-def g1_contract_selection(spark: SparkSession, d: str) -> DataFrame:
-    """``g1_selection`` under the contract's guard, as many starts as the contract asks for."""
-    return _counted(_g1(spark, d, fixed.VISITED_GUARD, max(G1_COUNT.values())), G1_COUNT)
-
-
-def _g2_sql(guard: int, n: int | str) -> str:
-    return f"""
-{_G},
+  WHERE pool LIKE 'G1/%' AND v.n <= {c.guard})
+SELECT split_part(ok.pool, '/', 2) AS stratum, rank, qid, n AS visited FROM ok JOIN need ON need.pool = ok.pool WHERE rank <= most"""
+        self.g2 = f"""
+{cand}, need(pool, most) AS (VALUES {_values([(f"G2/{name}", k) for name, k in c.g2])}),
 direct AS (SELECT DISTINCT SubjectQid AS qid, TargetQid AS target FROM instance_of WHERE SubjectQid IN (SELECT qid FROM cand WHERE pool LIKE 'G2/%')),
-{_visited_sql("SELECT DISTINCT target AS seed FROM direct")},
+{visited("SELECT DISTINCT target AS seed FROM direct")},
 most AS (SELECT d.qid, max(v.n) AS n FROM direct d JOIN visited v ON v.seed = d.target GROUP BY 1),
 ok AS (SELECT c.*, m.n, row_number() OVER (PARTITION BY pool ORDER BY h, c.qid) AS rank FROM cand c JOIN most m ON m.qid = c.qid
-  WHERE pool LIKE 'G2/%' AND m.n <= {guard})
-SELECT split_part(pool, '/', 2) AS stratum, rank, qid, n AS max_visited FROM ok WHERE rank <= {n}"""
+  WHERE pool LIKE 'G2/%' AND m.n <= {c.guard})
+SELECT split_part(ok.pool, '/', 2) AS stratum, rank, qid, n AS max_visited FROM ok JOIN need ON need.pool = ok.pool WHERE rank <= most"""
 
 
-def _g2(spark: SparkSession, d: str, guard: int, count: int) -> DataFrame:
-    cand = pools(spark, d).where("pool like 'G2/%'")
-    direct = table(spark, d, "instance_of").select(F.col("SubjectQid").alias("qid"), F.col("TargetQid").alias("seed")).distinct()
-    direct = direct.join(cand.select("qid").distinct(), "qid", "left_semi")
-    met = traversal.ancestry(direct.select("seed"), hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"))
-    n = met.groupBy("seed").agg((F.count("*") + 1).alias("n"))
-    most = direct.join(n, "seed", "left").groupBy("qid").agg(F.max(F.coalesce("n", F.lit(1))).alias("max_visited"))
-    fit = cand.join(most, "qid").where(F.col("max_visited") <= guard)
-    out = ranked(fit.select("pool", "qid", "max_visited"), F.col("qid").cast("string"), [F.col("qid")], count)
-    return out.select(F.split("pool", "/")[1].alias("stratum"), "rank", "qid", "max_visited")
+CONTRACTS = {"": contracts.workload(), "small_": contracts.workload("workload_contract_small.json")}
+_NAMED = {
+    "census_gates": (gates, "gates"), "rank_sample": (samples, "samples"), "rank_sample_lexical": (lexical_samples, "lexical_samples"),
+    "concept_misses": (concept_misses, "concept_misses"), "lexical_misses": (lexical_misses, "lexical_misses"), "serving_plan": (plan, "plan"),
+    "g1_selection": (g1_starts, "g1"), "g2_batch_selection": (g2_inputs, "g2"),
+}
+
 
+def _bound(f, c: Contract):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d, c)
 
-@query(_g2_sql(GUARD, SELECTED))
-def g2_batch_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The first concepts of each stratum by hash none of whose targets has an ancestry beyond the guard."""
-    return _g2(spark, d, GUARD, SELECTED)
+    run.__doc__ = f.__doc__
+    return run
 
 
-@query(_g2_sql(fixed.VISITED_GUARD, _count_sql(G2_COUNT)))
-def g2_contract_selection(spark: SparkSession, d: str) -> DataFrame:
-    """``g2_batch_selection`` under the contract's guard, as many concepts as the contract asks for."""
-    return _counted(_g2(spark, d, fixed.VISITED_GUARD, max(G2_COUNT.values())), G2_COUNT)
+for _prefix, _contract in CONTRACTS.items():
+    _sql = Statements(_contract)
+    _named = _NAMED if _prefix else _NAMED | {"pool_cardinalities": (pool_sizes, "sizes"), "s4_high_degree": (top_degrees, "high"), "probe_interleave": (interleaved, "interleaved")}
+    for _name, (_f, _attribute) in _named.items():
+        QUERIES[_prefix + _name] = _bound(_f, _contract)
+        SQL[_prefix + _name] = getattr(_sql, _attribute)

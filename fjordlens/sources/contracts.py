@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import pkgutil
 from dataclasses import dataclass
-from pathlib import Path
 
 OPERATIONS = ("S1", "S2", "S3", "S4", "S5", "G1")
 MODES = ("sha256-ranked-sample", "all-eligible", "generated-miss", "degree-rank-500")
@@ -32,6 +32,28 @@ class Contract:
     max_depth: int
     guard: int
     limits: tuple[tuple[str, int], ...]
+    selection_domain: str
+    concept_miss_domain: str
+    lexical_miss_domain: str
+    miss_language: str
+
+    def needs(self, *operations: str) -> dict[str, int | None]:
+        """Probes of each stratum of these operations by name; None where all eligible ones are taken."""
+        return {f"{s.operation}/{s.stratum}": None if s.mode == "all-eligible" else s.count for s in self.strata if s.operation in operations}
+
+
+#: Format names of a contract file (fixed by the format).
+WORDS = ("schema", "selectionDomain", "conceptMissDomain", "lexicalMissDomain", "missLanguage", "lexicalKeySemantics", "orderingAlgorithm", "orderingInterleave", "percentileAlgorithm")
+NUMBERS = (
+    "workloadContractVersion", "generatorVersion", "canonicalEncodingVersion", "multisetFoldVersion", "servingRepetitions", "openRepetitions", "analyticalRepetitions",
+    "buildRepetitions", "timeoutPointOperationSeconds", "timeoutG1StartSeconds", "timeoutG2BatchSeconds", "timeoutAnalyticalSeconds", "timeoutBuildSeconds",
+    "maxDepth", "visitedNodeGuard", "g2BatchConcepts",
+)
+#: What this version of the format supports.
+SUPPORTED = {
+    "workloadContractVersion": 1, "generatorVersion": 1, "canonicalEncodingVersion": 1, "multisetFoldVersion": 1, "lexicalKeySemantics": "raw-exact-lang-value",
+    "orderingAlgorithm": "sha256-rank", "orderingInterleave": "round-robin-stratum-order", "percentileAlgorithm": "linear-interpolated-n-minus-1-v1", "reportP999": False,
+}
 
 
 def _unique(pairs: list[tuple]) -> dict:
@@ -77,31 +99,48 @@ def parse(text: str) -> Contract:
         raw = json.loads(text, object_pairs_hook=_unique)
     except json.JSONDecodeError as e:
         raise ContractError(str(e)) from e
-    words = ("schema", "selectionDomain", "conceptMissDomain", "lexicalMissDomain", "missLanguage", "lexicalKeySemantics", "orderingAlgorithm", "orderingInterleave", "percentileAlgorithm")
-    numbers = (
-        "workloadContractVersion", "generatorVersion", "canonicalEncodingVersion", "multisetFoldVersion", "servingRepetitions", "openRepetitions", "analyticalRepetitions",
-        "buildRepetitions", "timeoutPointOperationSeconds", "timeoutG1StartSeconds", "timeoutG2BatchSeconds", "timeoutAnalyticalSeconds", "timeoutBuildSeconds",
-        "maxDepth", "visitedNodeGuard", "g2BatchConcepts",
-    )
     lists = ("strata", "correctnessOnly", "g2Strata")
-    kinds = dict.fromkeys(words, str) | dict.fromkeys(numbers, int) | dict.fromkeys(lists, list) | {"reportP999": bool, "fullPassWarmup": bool}
+    kinds = dict.fromkeys(WORDS, str) | dict.fromkeys(NUMBERS, int) | dict.fromkeys(lists, list) | {"reportP999": bool, "fullPassWarmup": bool}
     raw = _take(raw, kinds)
-    if low := [k for k in numbers if raw[k] < 1]:
+    if low := [k for k in NUMBERS if raw[k] < 1]:
         raise ContractError(f"not positive: {low}")
+    if other := [k for k, v in SUPPORTED.items() if raw[k] != v]:
+        raise ContractError(f"not supported: {other}")
     strata, tail = (tuple(map(_stratum, raw[k])) for k in ("strata", "correctnessOnly"))
     names = [(s.operation, s.stratum) for s in strata + tail]
     if len(set(names)) != len(names):
         raise ContractError("a stratum occurs twice")
+    for s in strata + tail:
+        if (s.mode == "all-eligible") != (s.expected is not None) or s.mode == "all-eligible" and s.expected != s.count:
+            raise ContractError(f"{s.operation}/{s.stratum}: the expected number belongs to strata that are taken whole, and equals their count")
+    _contiguous([s for s in strata if s.operation == "S2" and s.mode != "generated-miss"])
     g2 = tuple((r["stratum"], r["count"]) for r in (_take(x, {"stratum": str, "count": int}) for x in raw["g2Strata"]))
     if sum(n for _, n in g2) != raw["g2BatchConcepts"]:
         raise ContractError("the G2 strata do not add up to the batch")
-    limits = tuple((k, raw[k]) for k in numbers if k.startswith("timeout"))
-    return Contract(strata, tail, g2, raw["maxDepth"], raw["visitedNodeGuard"], limits)
-
-
-def workload() -> Contract:
-    """The contract of the full plan, kept beside this file."""
-    return parse(Path(__file__).with_name("workload_contract_v1.json").read_text())
+    limits = tuple((k, raw[k]) for k in NUMBERS if k.startswith("timeout"))
+    if len(dict(g2)) != len(g2):
+        raise ContractError("a G2 stratum occurs twice")
+    domains = (raw[k] for k in ("selectionDomain", "conceptMissDomain", "lexicalMissDomain", "missLanguage"))
+    return Contract(strata, tail, g2, raw["maxDepth"], raw["visitedNodeGuard"], limits, *domains)
+
+
+def _contiguous(strata: list[Stratum]) -> None:
+    """The fanout ranges of S2 are one partition of 1 to infinity."""
+    if any(s.fanout is None for s in strata):
+        raise ContractError("a stratum of S2 has no fanout range")
+    at = 1
+    for s in sorted(strata, key=lambda s: s.fanout[0]):
+        low, high = s.fanout
+        if at is None or low != at:
+            raise ContractError(f"S2/{s.stratum}: its range does not begin where the one before ends")
+        at = None if high is None else high + 1
+    if at is not None:
+        raise ContractError("no range of S2 is open")
+
+
+def workload(name: str = "workload_contract_v1.json") -> Contract:
+    """The contract of the full plan, kept beside this file, or a smaller one."""
+    return parse(pkgutil.get_data("fjordlens.sources", name).decode())
 
 
 def verdict(contract: Contract, pools: dict[str, int]) -> tuple[str, list[str]]:

@@ -31,7 +31,7 @@ def check(spark, d, name):
 
 
 def test_plan_ends_with_every_tail_concept(spark, small):
-    rows = check(spark, small, "serving_plan_full").orderBy("seq").collect()
+    rows = check(spark, small, "small_serving_plan").orderBy("seq").collect()
     assert [r.seq for r in rows] == list(range(len(rows)))
     tail = [r for r in rows if not r.measured]
     assert [(r.op, r.stratum, r.qid) for r in tail] == [("S1", "Tail", q) for q in range(381, 401)]
@@ -48,9 +48,9 @@ def test_contract_guard(spark, tmp_path):
     spark.range(1, 20).select(F.col("id").alias("Qid"), F.lit(True).alias("InT1"), F.lit(False).alias("InT2")).write.parquet(f"{d}/concept.parquet")
     spark.createDataFrame([(1, "en", "a")], "Qid bigint, Lang string, Value string").write.parquet(f"{d}/lexical_entry.parquet")
     spark.createDataFrame([(11, 1), (12, 2), (13, 3)], "SubjectQid bigint, TargetQid bigint").write.parquet(f"{d}/instance_of.parquet")
-    g1 = {r.qid: r.visited for r in check(spark, d, "g1_contract_selection").collect()}
+    g1 = {r.qid: r.visited for r in check(spark, d, "g1_selection").collect()}
     assert g1 == {1: 5000, 3: 41, 4: 41}
-    g2 = {r.qid: r.max_visited for r in check(spark, d, "g2_contract_selection").collect()}
+    g2 = {r.qid: r.max_visited for r in check(spark, d, "g2_batch_selection").collect()}
     assert g2 == {11: 5000, 13: 41}
 
 
@@ -69,14 +69,24 @@ def many(spark, tmp_path_factory):
 
 
 def test_contract_takes_whole_pools_and_its_counts(spark, many):
-    n = {r.pool: r["count"] for r in check(spark, many, "contract_samples").groupBy("pool").count().collect()}
+    n = {r.pool: r["count"] for name in ("rank_sample", "rank_sample_lexical") for r in check(spark, many, name).groupBy("pool").count().collect()}
     assert n == {"S1/T1Only": 1200, "S2/Fanout51Plus": 30, "S3/T1WithLexical": 51, "S3/ConceptNoLexical": 1000, "S4/Degree0": 700, "S4/Degree1": 500, "S4/HighDegree": 500, "S5/Degree0": 1200}
-    plan = {(r.op, r.stratum): r["count"] for r in check(spark, many, "contract_plan").groupBy("op", "stratum").count().collect()}
+    plan = {(r.op, r.stratum): r["count"] for r in check(spark, many, "serving_plan").groupBy("op", "stratum").count().collect()}
     assert plan == {tuple(k.split("/")): v for k, v in n.items()} | {("S1", "Absent"): 4000, ("S2", "Miss"): 4000}
+    small = {r.pool: r["count"] for r in check(spark, many, "small_rank_sample_lexical").groupBy("pool").count().collect()}
+    assert small == {"S2/Fanout51Plus": 30}  # taken whole, though 20 are expected
+
+
+def test_misses_are_made_until_enough(spark):
+    """The first 200 candidates are refused, more than the first attempt makes."""
+    from fjordlens.plans import workload
+
+    got = workload._made(spark, 10, "x", "S1/Absent", lambda made: made.where("counter >= 200"))
+    assert sorted(r.counter for r in got.collect()) == list(range(200, 210))
 
 
 def test_contract_gates(spark, many):
-    got = {r.pool: (r.needed, r.have, r.verdict) for r in check(spark, many, "contract_gates").collect()}
+    got = {r.pool: (r.needed, r.have, r.verdict) for r in check(spark, many, "census_gates").collect()}
     assert got["S2/Fanout51Plus"] == (380, 30, "HOLD") and got["S1/Tail"] == (20, 0, "HOLD")
     assert got["S3/ConceptNoLexical"] == (1000, 1149, "GO") and got["S4/HighDegree"] == (500, 500, "GO")
     assert got["S1/T1Only"] == (4000, 1200, "HOLD") and "S1/Absent" not in got

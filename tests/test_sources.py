@@ -8,17 +8,11 @@ from fjordlens.sources import binary, contracts
 
 
 def contract(**change):
-    words = ("schema", "selectionDomain", "conceptMissDomain", "lexicalMissDomain", "missLanguage", "lexicalKeySemantics", "orderingAlgorithm", "orderingInterleave", "percentileAlgorithm")
-    numbers = (
-        "workloadContractVersion", "generatorVersion", "canonicalEncodingVersion", "multisetFoldVersion", "servingRepetitions", "openRepetitions", "analyticalRepetitions",
-        "buildRepetitions", "timeoutPointOperationSeconds", "timeoutG1StartSeconds", "timeoutG2BatchSeconds", "timeoutAnalyticalSeconds", "timeoutBuildSeconds",
-        "maxDepth", "visitedNodeGuard", "g2BatchConcepts",
-    )
-    out = dict.fromkeys(words, "x") | dict.fromkeys(numbers, 3) | {"reportP999": False, "fullPassWarmup": True}
+    out = dict.fromkeys(contracts.WORDS, "x") | dict.fromkeys(contracts.NUMBERS, 3) | {"fullPassWarmup": True} | contracts.SUPPORTED
     out["strata"] = [
         {"operation": "S1", "stratum": "A", "selectionMode": "sha256-ranked-sample", "measuredCount": 5},
         {"operation": "S1", "stratum": "Absent", "selectionMode": "generated-miss", "measuredCount": 5},
-        {"operation": "S2", "stratum": "B", "selectionMode": "all-eligible", "measuredCount": 2, "expectedEligibleCount": 2, "fanoutMin": 51, "fanoutMax": None},
+        {"operation": "S2", "stratum": "B", "selectionMode": "all-eligible", "measuredCount": 2, "expectedEligibleCount": 2, "fanoutMin": 1, "fanoutMax": None},
     ]
     out["correctnessOnly"], out["g2Strata"] = [], [{"stratum": "P", "count": 1}, {"stratum": "Q", "count": 2}]
     return json.dumps(out | change)
@@ -26,7 +20,7 @@ def contract(**change):
 
 def test_contract():
     c = contracts.parse(contract())
-    assert (c.max_depth, c.guard, c.g2, c.strata[2].fanout) == (3, 3, (("P", 1), ("Q", 2)), (51, None))
+    assert (c.max_depth, c.guard, c.g2, c.strata[2].fanout) == (3, 3, (("P", 1), ("Q", 2)), (1, None))
     assert contracts.verdict(c, {"S1/A": 5, "S2/B": 2}) == ("GO", [])
     assert contracts.verdict(c, {"S1/A": 4, "S2/B": 3}) == ("HOLD", ["S1/A: 4 eligible, 5 needed", "S2/B: 3 eligible, 2 expected"])
 
@@ -39,6 +33,10 @@ BAD = {
     "sum": contract(g2BatchConcepts=9),
     "mode": contract(strata=[{"operation": "S1", "stratum": "A", "selectionMode": "other", "measuredCount": 5}]),
     "twice": contract(strata=[{"operation": "S1", "stratum": "A", "selectionMode": "all-eligible", "measuredCount": 5}] * 2),
+    "version": contract(generatorVersion=2),
+    "gap": contract(strata=[{"operation": "S2", "stratum": n, "selectionMode": "sha256-ranked-sample", "measuredCount": 5, "fanoutMin": a, "fanoutMax": b} for n, a, b in (("A", 1, 5), ("B", 7, None))]),
+    "no open range": contract(strata=[{"operation": "S2", "stratum": "A", "selectionMode": "sha256-ranked-sample", "measuredCount": 5, "fanoutMin": 1, "fanoutMax": 5}]),
+    "whole without number": contract(strata=[{"operation": "S1", "stratum": "A", "selectionMode": "all-eligible", "measuredCount": 5}]),
     "range": contract(strata=[{"operation": "S2", "stratum": "A", "selectionMode": "all-eligible", "measuredCount": 5, "fanoutMin": 5, "fanoutMax": 4}]),
     "missing": '{"schema": "x"}',
     "broken": "{",
