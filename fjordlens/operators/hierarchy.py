@@ -1,9 +1,12 @@
 """Child-to-parent links to full hierarchies: ancestor pairs, closed sets, roots, depths and paths.
 
-Method: frontier joins level by level. The frontier doubles: a pair that lies more than k and at most 2k links apart is a
-pair exactly k apart joined with a pair at most k apart, so levels 1, 2, 4, 8, ... are enough and a chain of 160
-links takes 8 joins instead of 160. A node that reaches itself is repeated, hence in a closed set; a node without a
-root among its ancestors is unreached.
+Method: frontier joins level by level. Closed sets are found by peeling: level-wise, nodes without parents (roots) and nodes
+without children are taken off from both ends, since neither lies on a cycle; ancestor pairs are made of what is left
+only, where a node that reaches itself is repeated, hence in a closed set. Going back over the levels taken off at the
+lower end gives every node below a closed set and its distance. Where all descendants are asked for, ancestor pairs are made of
+all links, and the frontier doubles: a pair that lies more than k and at most 2k links apart is a pair exactly k apart
+joined with a pair at most k apart, so levels 1, 2, 4, 8, ... are enough and a chain of 160 links takes 8 joins instead
+of 160. A node without a root among its ancestors is unreached.
 
 Inputs: any table with a child and a parent column of bigint; further columns are ignored.
 Defined results for odd inputs: a null child or parent is no link; repeated links count once; a node linked to
@@ -29,18 +32,15 @@ def links(df: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-FEW = 20_000  # node ids up to which a set is broadcast
-
-
 def ancestor_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, ancestor, steps): the fewest upward links, 1 or more; (x, x) says that x reaches itself.
 
     ``edges`` is (node, parent), distinct. The rounds are the logarithm of the longest distance; a round writes the
-    pairs so far once and shuffles them by (node, ancestor), which no single key dominates. The join on the middle
-    node is left to AQE, which splits a node that holds many pairs. Once only a few nodes have anything k links away
-    (long chains), all pairs of other nodes are final: they are set aside, once, and the rounds go on with the rest.
+    pairs of the nodes that still go on and shuffles them by (node, ancestor), which no single key dominates. The join on
+    the middle node is left to AQE, which splits a node that holds many pairs. After each round a node that has nothing
+    exactly k links away, and is not itself k links away from a node, is final: its pairs are set aside.
     """
-    work = scratch.cut(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    work = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     done, k = [], 1
     while True:
         far = work.where(F.col("steps") == k).select("node", F.col("ancestor").alias("mid"))
@@ -49,20 +49,35 @@ def ancestor_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
         grown = scratch.cut(
             work.unionByName(longer).groupBy("node", "ancestor").agg(F.min("steps").cast("int").alias("steps"))
         )
-        scratch.drop(work)
-        work, k = grown, 2 * k
-        far = work.where(F.col("steps") == k)
-        n = far.count()
-        if not n:  # nothing lies exactly k apart, so nothing further
-            return reduce(DataFrame.unionByName, [*done, work])
-        if not done and 20 * n < work.count():
-            # a node with something 2k away, and the nodes k away from it, have something k away or are that themselves
-            alive = scratch.cut(far.select("node").union(far.select("ancestor")).distinct())
-            alive = F.broadcast(alive) if alive.count() <= FEW else alive
-            done.append(scratch.cut(work.join(alive, "node", "left_anti").select("node", "ancestor", "steps")))
-            rest = scratch.cut(work.join(alive, "node", "left_semi").select("node", "ancestor", "steps"))
-            scratch.drop(work)
-            work = rest
+        k *= 2
+        # a node with something 2k away, and the nodes k away from it, have something k away or are that themselves
+        far = grown.where(F.col("steps") == k)
+        alive = scratch.cut(far.select("node").union(far.select("ancestor")).distinct())
+        if alive.isEmpty():  # nothing lies exactly k apart, so nothing further
+            return reduce(DataFrame.unionByName, [*done, grown])
+        done.append(grown.join(alive, "node", "left_anti").select("node", "ancestor", "steps"))
+        work = grown.join(alive, "node", "left_semi").select("node", "ancestor", "steps")
+
+
+def peel(edges: DataFrame, scratch: Scratch, least: float = 0.125) -> tuple[DataFrame, list[DataFrame]]:
+    """(core, levels): what is left of the links when both ends are taken off level by level, and the links taken off at
+    the lower end, in that order.
+
+    A level drops the links to nodes without parents (nothing above them closes) and sets aside the links of nodes without
+    children. Links of cycles and between cycles stay. It ends when a level takes off less than ``least`` of what
+    there was: what is left then are cycles and a few long chains, so the levels are few, whatever the depth."""
+    core, n, levels = edges, edges.count(), []
+    while n:
+        above = core.select(F.col("node").alias("parent")).distinct()  # parents that have parents
+        below = core.select(F.col("parent").alias("node"), F.lit(True).alias("_under")).distinct()
+        kept = scratch.cut(core.join(above, "parent", "left_semi").join(below, "node", "left").select("node", "parent", "_under"))
+        levels.append(kept.where("_under is null").select("node", "parent"))
+        core = kept.where("_under").select("node", "parent")
+        left = core.count()
+        if n - left < least * n:
+            break
+        n = left
+    return core, levels
 
 
 def closed_sets(pairs: DataFrame) -> DataFrame:
@@ -80,16 +95,22 @@ def closed_sets(pairs: DataFrame) -> DataFrame:
     )
 
 
-def reached_cycles(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(qid, cycle_qid, steps): each node and each closed set it lies in (steps 0) or reaches upwards."""
+def reached_cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(qid, cycle_qid, steps): each node and each closed set it lies in (steps 0) or reaches upwards.
+
+    Closed sets lie in the peeled core; its ancestor pairs give them and the core's distances. The levels taken off at the
+    lower end are gone back over, the last one first: a node's distance is one more than its nearest parent's."""
+    core, levels = peel(edges, scratch)
+    pairs = scratch.cut(ancestor_pairs(core, scratch))
     sets = scratch.cut(closed_sets(pairs))
     up = pairs.join(sets.withColumnRenamed("node", "ancestor"), "ancestor").select("node", "cycle", "steps")
     own = sets.select("node", "cycle", F.lit(0).alias("steps"))
-    return (
-        up.unionByName(own)
-        .groupBy(F.col("node").alias("qid"), F.col("cycle").alias("cycle_qid"))
-        .agg(F.min("steps").cast("bigint").alias("steps"))
-    )
+    known = scratch.cut(up.unionByName(own).groupBy("node", "cycle").agg(F.min("steps").alias("steps")))
+    for level in reversed(levels):
+        at = known.withColumnRenamed("node", "parent")
+        below = level.join(at, "parent").groupBy("node", "cycle").agg((F.min("steps") + 1).alias("steps"))
+        known = known.unionByName(scratch.cut(below))
+    return known.select(F.col("node").alias("qid"), F.col("cycle").alias("cycle_qid"), F.col("steps").cast("bigint").alias("steps"))
 
 
 def node_summary(edges: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:

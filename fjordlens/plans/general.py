@@ -13,33 +13,36 @@ COPY_FIELDS = ["Qid", "InT1", "InT2", "Lang", "LexKind", "Value", "SubjectQid",
 SQL: dict[str, str] = {}
 
 
-def _world(spark: SparkSession, d: str, name: str):
-    scratch = Scratch(spark, name)
-    edges = scratch.cut(hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid"))
-    return edges, hierarchy.ancestor_pairs(edges, scratch), scratch
+def _links(spark: SparkSession, d: str) -> tuple[DataFrame, Scratch]:
+    scratch = Scratch(spark, "p1")
+    return scratch.cut(hierarchy.links(table(spark, d, "subclass_of"), "SubjectQid", "TargetQid")), scratch
+
+
+def _world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Scratch]:
+    edges, scratch = _links(spark, d)
+    return edges, scratch.cut(hierarchy.ancestor_pairs(edges, scratch)), scratch
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each concept and each closed set of upward links it lies in or reaches."""
-    _, pairs, scratch = _world(spark, d, "p1")
-    return hierarchy.reached_cycles(pairs, scratch)
+    return hierarchy.reached_cycles(*_links(spark, d))
 
 
 def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Depth, root, numbers of roots, ancestors and descendants of each concept."""
-    edges, pairs, scratch = _world(spark, d, "p1")
+    edges, pairs, scratch = _world(spark, d)
     return hierarchy.node_summary(edges, pairs, scratch)
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     """One shortest path from each root to each concept below it."""
-    edges, pairs, scratch = _world(spark, d, "p1")
+    edges, pairs, scratch = _world(spark, d)
     return hierarchy.root_paths(edges, pairs, scratch)
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every concept with each of its descendants and the fewest links between them."""
-    _, pairs, _ = _world(spark, d, "p1")
+    _, pairs, _ = _world(spark, d)
     return pairs.where(F.col("node") != F.col("ancestor")).select(
         F.col("ancestor").alias("qid"), F.col("node").alias("descendant"), F.col("steps").cast("bigint").alias("steps")
     )
@@ -119,26 +122,25 @@ looped AS (SELECT node FROM walk WHERE node = ancestor),
 cyc AS (
   SELECT a.node, min(a.ancestor) AS cycle FROM walk a JOIN walk b ON a.node = b.ancestor AND a.ancestor = b.node
   GROUP BY a.node)"""
+# Shortest distances by keyed recursion: a pair that is known is not made again, so there is no bound on depth.
 SQL["p1_found"] = (
     _PAIRS
     + """,
-below AS (SELECT DISTINCT w.node, c.cycle FROM walk w JOIN cyc c ON w.ancestor = c.node),
-dist(node, cycle, steps) AS (
+dist(node, cycle, steps) USING KEY (node, cycle) AS (
   SELECT node, cycle, 0 FROM cyc
   UNION
-  SELECT e.node, d.cycle, d.steps + 1 FROM dist d JOIN e ON e.parent = d.node
-  WHERE d.steps < 1000 AND NOT EXISTS (SELECT 1 FROM cyc c WHERE c.node = e.node AND c.cycle = d.cycle)
-    AND d.steps < (SELECT count(*) FROM below))
-SELECT node AS qid, cycle AS cycle_qid, CAST(min(steps) AS BIGINT) AS steps FROM dist GROUP BY 1, 2"""
+  SELECT e.node, d.cycle, min(d.steps) + 1 FROM dist d JOIN e ON e.parent = d.node
+    LEFT JOIN recurring.dist k ON k.node = e.node AND k.cycle = d.cycle WHERE k.node IS NULL GROUP BY 1, 2)
+SELECT node AS qid, cycle AS cycle_qid, CAST(steps AS BIGINT) AS steps FROM dist"""
 )
 _ROOTED = """,
 nodes AS (SELECT node FROM e UNION SELECT parent FROM e),
 roots AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM e)),
-dist(node, root, steps) AS (
+near(node, root, steps) USING KEY (node, root) AS (
   SELECT node, node, 0 FROM roots
   UNION
-  SELECT e.node, d.root, d.steps + 1 FROM dist d JOIN e ON e.parent = d.node WHERE d.steps < 500),
-near AS (SELECT node, root, min(steps) AS steps FROM dist GROUP BY 1, 2)"""
+  SELECT e.node, d.root, min(d.steps) + 1 FROM near d JOIN e ON e.parent = d.node
+    LEFT JOIN recurring.near k ON k.node = e.node AND k.root = d.root WHERE k.node IS NULL GROUP BY 1, 2)"""
 SQL["p1_nodes"] = (
     _PAIRS
     + _ROOTED
@@ -152,6 +154,19 @@ SELECT x.node AS qid, CAST(top.depth AS BIGINT) AS depth, first.root, coalesce(t
 FROM nodes x LEFT JOIN up ON up.node = x.node LEFT JOIN down ON down.node = x.node
   LEFT JOIN top ON top.node = x.node LEFT JOIN first ON first.node = x.node"""
 )
+SQL["p1_paths"] = (
+    _PAIRS
+    + _ROOTED
+    + """,
+step AS (
+  SELECT a.node, a.root, a.steps, min(e.parent) AS at FROM near a JOIN e ON e.node = a.node
+    JOIN near b ON b.node = e.parent AND b.root = a.root AND b.steps = a.steps - 1 GROUP BY 1, 2, 3),
+way(node, root, steps, path) AS (
+  SELECT node, node, 0, CAST(node AS VARCHAR) FROM roots
+  UNION ALL
+  SELECT s.node, s.root, s.steps, w.path || '>' || s.node FROM way w JOIN step s ON s.root = w.root AND s.at = w.node)
+SELECT node AS qid, root, CAST(steps AS BIGINT) AS depth, path FROM way"""
+)
 SQL["p4_found"] = """
 WITH m AS (
   SELECT 'concept' AS Relation, Qid AS RowId, Qid, InT1, InT2, CAST(NULL AS VARCHAR) AS Lang,
@@ -176,12 +191,12 @@ SQL["p4_summary"] = f"SELECT relation, difference, count(*) AS n FROM ({SQL['p4_
 SQL["p1_descendants"] = (
     _PAIRS
     + """,
-dist(node, ancestor, steps) AS (
+dist(node, ancestor, steps) USING KEY (node, ancestor) AS (
   SELECT node, parent, 1 FROM e
   UNION
-  SELECT d.node, e.parent, d.steps + 1 FROM dist d JOIN e ON d.ancestor = e.node WHERE d.steps < 200)
-SELECT ancestor AS qid, node AS descendant, CAST(min(steps) AS BIGINT) AS steps FROM dist WHERE node <> ancestor
-GROUP BY 1, 2"""
+  SELECT d.node, e.parent, min(d.steps) + 1 FROM dist d JOIN e ON d.ancestor = e.node
+    LEFT JOIN recurring.dist k ON k.node = d.node AND k.ancestor = e.parent WHERE k.node IS NULL GROUP BY 1, 2)
+SELECT ancestor AS qid, node AS descendant, CAST(steps AS BIGINT) AS steps FROM dist WHERE node <> ancestor"""
 )
 _BOTH = """
 SELECT 'instance_of' AS relation, TargetQid AS target_qid, SubjectQid FROM instance_of

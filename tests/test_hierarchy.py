@@ -39,6 +39,8 @@ CASES = {
     "diamond": [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)],
     "loops": [(1, 1), (2, 3), (3, 2), (4, 3), (5, 4), (5, 1), (6, 7), (7, 8), (8, 6), (8, 2)],
     "one way": [(1, 2)],
+    # a long chain above, between and below loops, and wide levels that peel off at once
+    "chained loops": [(i, i + 1) for i in range(1, 90)] + [(30, 20), (60, 55)] + [(200 + i, 1 + i % 3) for i in range(60)] + [(300 + i, 200 + i) for i in range(60)],
     "random": [(random.Random(i).randrange(40), random.Random(i + 999).randrange(40)) for i in range(60)],
 }
 
@@ -55,7 +57,7 @@ def test_against_brute_force(spark, case):
     for (n, a), k in want.items():
         if a in sets:
             found[n, sets[a]] = min(found.get((n, sets[a]), k), k)
-    assert {(r.qid, r.cycle_qid): r.steps for r in hierarchy.reached_cycles(pairs, scratch).collect()} == found
+    assert {(r.qid, r.cycle_qid): r.steps for r in hierarchy.reached_cycles(edges, scratch).collect()} == found
     roots = {n for n in nodes if not up.get(n)}
     got = {(r.qid, r.root): (r.depth, r.path) for r in hierarchy.root_paths(edges, pairs, scratch).collect()}
     assert {k: v[0] for k, v in got.items()} == {(n, r): (0 if n == r else want[n, r]) for n in nodes for r in roots if n == r or (n, r) in want}
@@ -80,6 +82,6 @@ def test_long_chains_are_set_aside(spark):
 def test_empty(spark):
     edges, pairs, scratch = run(spark, [])
     assert pairs.count() == 0
-    assert hierarchy.reached_cycles(pairs, scratch).count() == 0
+    assert hierarchy.reached_cycles(edges, scratch).count() == 0
     assert hierarchy.root_paths(edges, pairs, scratch).count() == 0
     assert hierarchy.node_summary(edges, pairs, scratch).count() == 0
