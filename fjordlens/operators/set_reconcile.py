@@ -4,12 +4,16 @@ Method: characteristic-polynomial set reconciliation over a finite field, per bu
 60-bit hash; rows fall into buckets by blocks of neighbouring keys. Each side sends, per bucket, its row count and the
 values of prod(z - hash) at a few sample points instead of its rows; equal buckets cancel there. For the others the
 ratio of the two sides is a rational function whose numerator and denominator have the differing hashes as roots. It is
-found from ``bound`` + 1 points and verified at two more; buckets that do not verify are done again at twice the bound,
-from their own hashes only. Beyond ``widest`` (a bucket that differs nearly everywhere) the hashes of those buckets are
-counted against each other, which is exact. Last, the rows of the differing hashes are fetched and compared.
+found from ``bound`` + 1 points and verified at two more. Buckets that do not verify are done again from their own hashes
+only, at twice the bound; from ``widest`` on they are split in four by bits of the hash instead, so that the values sent stay
+fewer than the rows they stand for. There a row that is repeated stands once, with its number of repetitions in the hash, so
+every bucket ends up with no more members than the bound, and then verifies: nothing is left to another way. Last, the rows
+of the differing hashes are fetched and compared.
 
-Work is one scan of both sides for the sketches and one for the fetch; what is shuffled is the sketches (or the bare
-hash where a bucket has fewer rows in a task than points) and the differing rows.
+Both sides are scanned for the spread of their keys (that column only), for the sketches, for the hashes of buckets that
+did not verify, and for the fetch; what is shuffled is the sketches (where a task holds fewer rows of a bucket than there are
+points, their hashes, which are the smaller form of the same polynomial) and the differing rows. Whether a small side is
+broadcast is left to the planner, which knows the sizes of the tables in the shared folder.
 
 Defined results: keys match with null equal to null; fields are compared exactly, null equal to null only; equal rows
 under one key count once; where a key stands for unlike rows on a side, those with an equal row on the other side are
@@ -20,6 +24,7 @@ tables give every row of the other side; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ CHECKS = 2
 SKETCH = "bucket bigint, side tinyint, n bigint, whole boolean, vals array<bigint>"
 FOUND = "bucket bigint, side tinyint, hash bigint"
 BATCH = 1 << 16
-BROADCAST_ROWS = 1_000_000  # of (bucket, hash): 16 MB
+SPLIT_BITS = 2  # a bucket is split by so many bits of the hash at a time
 
 
 def row_hash(columns: Sequence[str]) -> Column:
@@ -82,7 +87,7 @@ def _evaluate(hashes: np.ndarray, starts: np.ndarray, points: list[int]) -> np.n
 
 def sketch(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
     """(bucket, side, hash) to partial sketches."""
-    points = field.Points(bound + 1 + CHECKS, 1 << HASH_BITS).at if bound < 64 else _far_points(bound)
+    points = _points(bound)
     k = len(points)
     for t in _rows(batches, BATCH):
         bucket, side = t["bucket"].to_numpy(), t["side"].to_numpy()
@@ -101,7 +106,7 @@ def sketch(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordB
             yield _sketches(bucket[few], side[few], n[~many], False, h[~at], n[~many])
 
 
-def _far_points(bound: int) -> list[int]:
+def _points(bound: int) -> list[int]:
     return [(1 << HASH_BITS) + 1 + i for i in range(bound + 1 + CHECKS)]
 
 
@@ -117,7 +122,7 @@ def _sketches(bucket, side, n, whole, vals, sizes) -> pa.RecordBatch:
 def merge(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
     """Sketches sorted by bucket to differing hashes; hash is null where the bucket did not verify."""
     points = field.Points(bound + 1, 1 << HASH_BITS)
-    every = _far_points(bound)
+    every = _points(bound)
     carry: pa.Table | None = None
     for t in _rows(batches, BATCH // 16):
         t = t if carry is None else pa.concat_tables([carry, t])
@@ -201,33 +206,36 @@ def _round(hashed: DataFrame, bound: int, scratch: Scratch) -> DataFrame:
     return scratch.cut(laid.mapInArrow(lambda it: merge(it, bound), FOUND))
 
 
-def differing_hashes(hashed: DataFrame, scratch: Scratch, bound: int = 8, widest: int = 256) -> DataFrame:
-    """(bucket, side, hash) of both sides (0 and 1) to those hashes that are not the same number of times on both."""
+def differing_hashes(hashed: DataFrame, scratch: Scratch, bound: int = 8, widest: int = 32) -> DataFrame:
+    """(bucket, side, hash), side 0 or 1, to (bucket, hash) of those hashes that are not the same number of times on both sides."""
+
+    def unsolved(found: DataFrame) -> DataFrame:
+        return found.where(F.col("hash").isNull()).select("bucket").distinct()
+
     found = _round(hashed, bound, scratch)
-    done = [found.where(F.col("hash").isNotNull())]
-    open_ = found.where(F.col("hash").isNull()).select("bucket").distinct()
-    n = open_.count()
-    if n:
-        small = F.broadcast(open_) if n <= BROADCAST_ROWS else open_
-        rest = scratch.cut(hashed.join(small, "bucket", "left_semi"))
-        while n:
+    out = found.where(F.col("hash").isNotNull()).select("bucket", "hash")
+    if unsolved(found).isEmpty():
+        return out
+    element = F.xxhash64("hash", "n").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    rest = scratch.cut(
+        hashed.join(unsolved(found), "bucket", "left_semi")
+        .groupBy("bucket", "side", "hash").agg(F.count("*").alias("n"))
+        .select("bucket", "side", "hash", element.alias("element"))
+    )
+    work, solved, shift = rest.select("bucket", "side", F.col("element").alias("hash")), [], 0
+    while True:
+        if 2 * bound <= widest:
             bound *= 2
-            if bound > widest:
-                side = F.when(F.col("side") == 0, 1).otherwise(-1)
-                odd = rest.groupBy("bucket", "hash").agg(F.sum(side).alias("more")).where("more <> 0")
-                done.append(odd.select("bucket", F.when(F.col("more") > 0, 0).otherwise(1).cast("tinyint").alias("side"), "hash"))
-                break
-            found = _round(rest, bound, scratch)
-            done.append(found.where(F.col("hash").isNotNull()))
-            open_ = found.where(F.col("hash").isNull()).select("bucket").distinct()
-            n = open_.count()
-            if n:
-                small = F.broadcast(open_) if n <= BROADCAST_ROWS else open_
-                rest = scratch.cut(rest.join(small, "bucket", "left_semi"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        else:
+            part = F.shiftright("hash", shift).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
+            work = work.withColumn("bucket", F.shiftleft("bucket", SPLIT_BITS).bitwiseOR(part))
+            shift += SPLIT_BITS
+        found = _round(work, bound, scratch)
+        solved.append(found.where(F.col("hash").isNotNull()).select(F.col("hash").alias("element"), "side"))
+        if unsolved(found).isEmpty():
+            break
+        work = scratch.cut(work.join(unsolved(found), "bucket", "left_semi"))
+    return out.unionByName(rest.join(reduce(DataFrame.unionByName, solved), ["element", "side"]).select("bucket", "hash"))
 
 
 def differences(
@@ -253,14 +261,11 @@ def differences(
 def _differences(main: DataFrame, copy: DataFrame, titles: list[str], scratch: Scratch, rows_per_bucket: int) -> DataFrame:
     group, key, fields = "_group", "_key", [f"_f{i}" for i in range(len(titles))]
     columns = [group, key, *fields]
-    shape = (
-        main.groupBy(group)
-        .agg(F.count("*").alias("n"), F.expr(f"approx_percentile({key}, array(0.1, 0.9), 100)").alias("q"))
-        .collect()
-    )  # one row per table name
-    total = sum(r["n"] for r in shape)
+    keys = main.select(group, key).unionByName(copy.select(group, key))
+    shape = keys.groupBy(group).agg(F.count("*").alias("n"), F.expr(f"approx_percentile({key}, array(0.1, 0.9), 100)").alias("q")).collect()  # one row per table name
+    total = sum(r["n"] for r in shape) // 2  # of a side
     widths: Mapping = {
-        r[group]: max(1, min(4096, rows_per_bucket * (r["q"][1] - r["q"][0]) // max(1, r["n"] * 8 // 10)))
+        r[group]: max(1, min(4096, rows_per_bucket * (r["q"][1] - r["q"][0]) // max(1, r["n"] * 4 // 10)))
         for r in shape
         if r[group] is not None and r["q"]
     }
@@ -274,12 +279,11 @@ def _differences(main: DataFrame, copy: DataFrame, titles: list[str], scratch: S
     ]
     hashed = [d.select("bucket", "side", "hash") for d in sides]
     odd = scratch.cut(differing_hashes(hashed[0].unionByName(hashed[1]), scratch))
-    wanted = odd.select("bucket", "hash").distinct()
-    few = odd.count() <= BROADCAST_ROWS
+    wanted = odd.distinct()
 
     def fetch(i: int) -> DataFrame:
         # of either side: a row that only occurs more often on one side is fetched from both, and then equal
-        return sides[i].join(F.broadcast(wanted) if few else wanted, ["bucket", "hash"], "left_semi").select(*columns)
+        return sides[i].join(wanted, ["bucket", "hash"], "left_semi").select(*columns)
 
     a, b = fetch(0), fetch(1)
     a = a.select(*(F.col(c).alias(f"a_{c}") for c in columns), F.lit(True).alias("in_a"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fjordlens.functions import prime61 as field
 from fjordlens.operators import set_reconcile
@@ -52,12 +53,28 @@ def test_random_differences(spark, seed):
 
 
 def test_block_that_differs_wholly(spark):
-    """Needs the bound doubled several times, and the exact count beyond it."""
+    """Needs the bound doubled, and buckets split beyond it."""
     main = [("a", i, "v", i) for i in range(3000)]
     copy = [(k, i, "w" if 500 <= i < 1800 else v, n) for k, i, v, n in main if not 2000 <= i < 2100]
     assert run(spark, main, copy) == brute(main, copy)
 
 
+def test_rows_repeated_and_keys_that_hold_a_third(spark):
+    """One row is thousands of times on one side only, and one key stands for thousands of unlike rows."""
+    main = [("a", i, "v", i) for i in range(1500)]
+    copy = main + [("a", 7, "v", 7)] * 3000 + [("b", 5, "new", 0)] * 3000 + [("c", 5, f"w{i}", 0) for i in range(3000)]
+    main = main + [("c", 5, f"w{i}", 0) for i in range(0, 3000, 2)]
+    frames = [spark.createDataFrame([(*r, "") for r in rows], SCHEMA) for rows in (main, copy)]
+    hashed = None
+    for side, df in enumerate(frames):
+        part = df.select(F.col("id").alias("bucket"), F.lit(side).cast("tinyint").alias("side"), set_reconcile.row_hash(["kind", "id", "hash", "bucket"]).alias("hash"), F.col("hash").alias("v"))
+        hashed = part if hashed is None else hashed.unionByName(part)
+    want = {(r.bucket, r.hash) for r in hashed.groupBy("bucket", "hash").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("m")).where("m <> 0").collect()}
+    got = set_reconcile.differing_hashes(hashed.select("bucket", "side", "hash"), Scratch(spark, "t"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 1502
+    assert run(spark, main, copy) == {("b", 5, "only_copy"), ("c", 5, "only_copy")}
+
+
 def test_nulls_repeats_and_long_texts(spark):
     main = [("a", 1, None, None), ("a", 2, "", 5), ("a", 3, "x" * 200_000, 1), ("a", 4, "v", 1), ("a", 4, "v", 1), ("a", 5, "v", 1), ("a", 5, "w", 1), (None, 9, "n", 1)]
     copy = [("a", 1, "", None), ("a", 2, None, 5), ("a", 3, "x" * 199_999 + "y", 1), ("a", 4, "v", 1), ("a", 5, "v", 1), (None, 9, "n", 2)]
