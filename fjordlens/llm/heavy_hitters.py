@@ -72,20 +72,25 @@ def summary(df: DataFrame, column: str, k: int) -> DataFrame:
             return out.select(F.when(F.col("held"), F.col("item").cast(kind)).alias("item"), "n", "lost")
 
 
-def top(df: DataFrame, column: str, most: int, k: int = 1024) -> DataFrame:
+def top(df: DataFrame, column: str, most: int, k: int = 8192) -> DataFrame:
     """(item, rows): the ``most`` most frequent values with exact rows.
 
-    The summary gives at most k candidates, whose rows are counted exactly; the answer is certain once the last one kept
-    has more rows than ``lost``, the most any value without a counter can have. Until then k grows fourfold.
+    The summary gives at most k candidates, whose rows are counted exactly in a second scan. The answer is certain once the
+    last one kept has more rows than ``lost``, the most any value without a counter can have; with k counters this holds
+    for every value of more than rows / (k + 1) rows. Where values are so evenly spread that it does not, all values are
+    counted by a shuffle that combines before it, spills and leaves the order to a bounded top-k: memory stays bounded, and
+    neither the summary nor what the driver holds ever grows beyond k.
     """
-    while True:
-        found = summary(df, column, k).collect()  # at most k + 1 rows
-        lost = max((r["lost"] for r in found), default=0)
-        kind = dict(df.dtypes)[column]
-        spark = df.sparkSession
-        items = spark.createDataFrame([(r["item"],) for r in found if r["item"] is not None], f"{column} {kind}")
-        counted = df.join(F.broadcast(items), column).groupBy(F.col(column).alias("item")).agg(F.count("*").alias("rows"))
-        best = counted.orderBy(F.desc("rows"), "item").limit(most).collect()
-        if not lost or (len(best) == most and best[-1]["rows"] > lost):
-            return spark.createDataFrame([(r["item"], r["rows"]) for r in best], f"item {kind}, rows bigint")
-        k *= 4
+    kind, spark = dict(df.dtypes)[column], df.sparkSession
+    found = summary(df, column, k).collect()  # at most k + 1 rows
+    lost = max((r["lost"] for r in found), default=0)
+    items = spark.createDataFrame([(r["item"],) for r in found if r["item"] is not None], f"{column} {kind}")
+    rows = df.select(column).where(F.col(column).isNotNull())
+
+    def counted(rows: DataFrame) -> list:
+        return rows.groupBy(F.col(column).alias("item")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "item").limit(most).collect()
+
+    best = counted(rows.join(F.broadcast(items), column))  # at most k items
+    if lost and not (len(best) == most and best[-1]["rows"] > lost):
+        best = counted(rows)
+    return spark.createDataFrame([(r["item"], r["rows"]) for r in best], f"item {kind}, rows bigint")

@@ -283,7 +283,9 @@ def running(sketched: DataFrame, keys: Sequence[str], along: str, at: Sequence[f
     read in order and one sum is kept; what a task holds is bounded by the size of a sketch."""
     keys, names = list(keys), _names(at)
     columns = ["scope", along, *keys]
-    laid = _texts(sketched, [along, *keys]).repartition(*keys).sortWithinPartitions(*keys, along)
+    # a fixed number of tasks: there are few bytes but much to invert, so they must not be coalesced by size
+    tasks = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = _texts(sketched, [along, *keys]).repartition(tasks, *keys).sortWithinPartitions(*keys, along)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, total, n = None, None, 0

@@ -14,19 +14,24 @@ SQL: dict[str, str] = {}
 
 
 def p2_probe_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth of the probed concepts, stable as later batches arrive."""
+    """A tenth of the probed concepts, stable as later batches arrive. They are numbered in two batches, before and after the
+    middle day, as they would come in: the second one finds the numbers of the first in their table."""
     probes = (
         table(spark, d, "serving_probe").select(F.col("Qid").alias("qid"), "AddedAt")
         .unionByName(table(spark, d, "graph_probe").select(F.col("StartQid").alias("qid"), "AddedAt"))
     )
-    numbered = stable_sample.sequence(probes, "qid", "AddedAt", Scratch(spark, "p2"))
-    return stable_sample.chosen(numbered, SAMPLE_RATE).select("qid", "seq")
+    scratch = Scratch(spark, "p2")
+    ends = probes.agg(F.min("AddedAt").alias("a"), F.max("AddedAt").alias("z")).collect()[0]
+    early = F.coalesce(F.col("AddedAt") < F.lit(ends["a"] + (ends["z"] - ends["a"]) / 2 if ends["a"] else None), F.lit(False))
+    numbers = stable_sample.extend(probes.where(early), "qid", "AddedAt", scratch, None)
+    numbers = stable_sample.extend(probes, "qid", "AddedAt", scratch, numbers)
+    return stable_sample.chosen(spark.read.parquet(numbers), SAMPLE_RATE).select("qid", "seq")
 
 
 SQL["p2_probe_sample"] = f"""
 WITH p AS (SELECT Qid AS qid, AddedAt FROM serving_probe UNION ALL SELECT StartQid, AddedAt FROM graph_probe),
 f AS (SELECT qid, min(AddedAt) AS t FROM p WHERE qid IS NOT NULL GROUP BY 1),
-s AS (SELECT qid, row_number() OVER (ORDER BY t NULLS FIRST, qid) - 1 AS seq FROM f)
+s AS (SELECT qid, row_number() OVER (ORDER BY t NULLS LAST, qid) - 1 AS seq FROM f)
 SELECT qid, seq FROM s
 WHERE (CAST(seq AS HUGEINT) * {stable_sample.STEP} + {stable_sample.SHIFT % stable_sample.ONE}) % {stable_sample.ONE}
   < {round(SAMPLE_RATE * stable_sample.ONE)}"""
@@ -54,6 +59,20 @@ def p3_estimates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """How many values there are, and how many have rows outside the bounds that the summary states for them: between their
+    counter and counter + lost, or at most lost without a counter."""
+    rows = table(spark, d, "instance_of").select("TargetQid").where("TargetQid is not null")
+    s = Scratch(spark, "p3").cut(heavy_hitters.summary(rows, "TargetQid", 1024))
+    lost = F.lit(s.agg(F.coalesce(F.max("lost"), F.lit(0)).alias("lost")).collect()[0]["lost"])
+    true = rows.groupBy(F.col("TargetQid").alias("item")).agg(F.count("*").alias("rows"))
+    both = true.join(s.where("item is not null").select("item", "n"), "item", "full")
+    low = F.coalesce("n", F.lit(0))
+    right = F.coalesce((F.col("rows") >= low) & (F.col("rows") <= low + lost), F.lit(False))
+    return both.agg(F.count("*").alias("values"), F.count_if(~right).alias("wrong"))
+
+
+SQL["p3_bounds"] = "SELECT count(DISTINCT TargetQid) AS values, CAST(0 AS BIGINT) AS wrong FROM instance_of"
 SQL["p3_found"] = """
 SELECT TargetQid AS target_qid FROM instance_of WHERE TargetQid IS NOT NULL
 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12"""
@@ -204,5 +223,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p6_percentiles, p6_bounds, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares, p10_found, p10_stats)
+    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p3_bounds, p6_percentiles, p6_bounds, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares, p10_found, p10_stats)
 }

@@ -5,10 +5,12 @@ first arrival; the number times the golden ratio, plus a fixed shift, modulo 1,
 multiples of the golden ratio fill the interval evenly at every length, so each stretch of arrivals gives its share, and a
 key's number never changes as long as later batches arrive later; or where it was given before (``known``).
 
-Numbers are made by a range-partitioned sort with partition offsets; no task and no driver sees all keys.
+Numbers are kept in a table that ``extend`` carries on batch by batch: a number once given stays, also where a key arrives
+late with a time before others. They are made by a range-partitioned sort with partition offsets; no task and no driver sees
+all keys.
 
 Defined results: null keys are not sampled; repeated keys count once, at their first arrival; keys without an
-arrival time come before all others, by key; ties in time go by key; an empty table gives an empty sample.
+arrival time come after all others, by key; ties in time go by key; an empty table gives an empty sample.
 """
 
 from __future__ import annotations
@@ -39,15 +41,28 @@ def sequence(df: DataFrame, key: str, arrived: str, scratch: Scratch, known: Dat
     """(key, arrived, seq) for each key. ``known`` (key, seq) holds numbers given before; new keys follow after them."""
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(arrived).alias("arrived"))
     if known is None:
-        return global_rank(first, [F.col("arrived").asc_nulls_first(), F.col(key)], "seq", scratch)
+        return global_rank(first, [F.col("arrived").asc_nulls_last(), F.col(key)], "seq", scratch)
     start = known.agg(F.max("seq").alias("m")).collect()[0]["m"]
     new = first.join(known, key, "left_anti")
-    new = global_rank(new, [F.col("arrived").asc_nulls_first(), F.col(key)], "seq", scratch)
+    new = global_rank(new, [F.col("arrived").asc_nulls_last(), F.col(key)], "seq", scratch)
     new = new.withColumn("seq", F.col("seq") + F.lit((start if start is not None else -1) + 1))
     old = first.join(known.select(key, "seq"), key)
     return old.select(key, "arrived", "seq").unionByName(new.select(key, "arrived", "seq"))
 
 
+def extend(df: DataFrame, key: str, arrived: str, scratch: Scratch, numbers: str | None) -> str:
+    """Numbers the keys of ``df`` that the table at ``numbers`` (None at first) lacks, and writes the table with old and new
+    ones to a new place, which is returned; the old one stays as it was, so a failed run loses nothing."""
+    spark = df.sparkSession
+    known = spark.read.parquet(numbers) if numbers else None
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(arrived).alias("arrived"))
+    new = first if known is None else first.join(known, key, "left_anti")
+    start = 0 if known is None else known.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("m")).collect()[0]["m"]
+    new = global_rank(new, [F.col("arrived").asc_nulls_last(), F.col(key)], "seq", scratch)
+    new = new.select(key, (F.col("seq") + F.lit(start)).alias("seq"))
+    return scratch.cut(new if known is None else known.unionByName(new))._scratch_path
+
+
 def chosen(numbered: DataFrame, rate: float) -> DataFrame:
     """The rows of ``numbered`` whose place lies in the kept interval."""
     return numbered.where(place("seq") < F.lit(round(rate * ONE)))

@@ -58,11 +58,28 @@ def test_known_numbers_are_kept(spark):
     assert {r.q: r.seq for r in both.collect() if r.q < 10_000} == {r.q: r.seq for r in known.collect()}
 
 
+def test_late_arrivals_move_no_number(spark):
+    """The kept table of numbers: members stay, though a key comes later with an earlier, an equal or no time."""
+    scratch, schema = Scratch(spark, "t"), "q bigint, t timestamp"
+    first = [r[:2] for r in arrivals(2000)]
+    at = stable_sample.extend(spark.createDataFrame(first, schema), "q", "t", scratch, None)
+    before = {r.q: r.seq for r in spark.read.parquet(at).collect()}
+    late = [(50_000, T0 - timedelta(days=9)), (50_001, T0), (50_002, None), (None, T0)]
+    later = stable_sample.extend(spark.createDataFrame(first + late, schema).repartition(5), "q", "t", scratch, at)
+    after = {r.q: r.seq for r in spark.read.parquet(later).collect()}
+    assert {q: after[q] for q in before} == before
+    assert sorted(after.values()) == list(range(len(after))) and [after[50_000 + i] for i in range(3)] == [len(before) + i for i in range(3)]
+    kept = lambda at: {r.q for r in stable_sample.chosen(spark.read.parquet(at), 0.2).collect()}
+    assert kept(at) <= kept(later)
+    none = stable_sample.extend(spark.createDataFrame([], schema), "q", "t", scratch, None)
+    assert spark.read.parquet(stable_sample.extend(spark.createDataFrame(late, schema), "q", "t", scratch, none)).count() == 3
+
+
 def test_nulls_ties_and_empty(spark):
     rows = [(None, T0, ""), (1, None, ""), (2, T0, ""), (3, T0, None), (3, T0, None), (1, T0, "")]
     numbered, _ = sample(spark, rows)
     assert {r.q: r.seq for r in numbered.collect()} == {1: 0, 2: 1, 3: 2}  # ties go by key
-    assert sample(spark, [(5, None, ""), (6, T0, "")])[0].orderBy("seq").collect()[0].q == 5
+    assert sample(spark, [(5, None, ""), (6, T0, "")])[0].orderBy("seq").collect()[0].q == 6
     assert sample(spark, [])[0].count() == 0
 
 
@@ -88,6 +105,16 @@ def test_bounds_and_top(spark, seed):
     assert [tuple(r) for r in heavy_hitters.top(df, "v", 20, k=8).collect()] == want
 
 
+def test_evenly_spread_values_need_no_larger_summary(spark, monkeypatch):
+    """Values of two rows each: no summary can tell them apart. The exact count does, and the summary is made once."""
+    df = spark.range(40_000).select((F.col("id") % 20_000).alias("v")).repartition(7)
+    asked = []
+    made = heavy_hitters.summary
+    monkeypatch.setattr(heavy_hitters, "summary", lambda df, column, k: asked.append(k) or made(df, column, k))
+    assert [tuple(r) for r in heavy_hitters.top(df, "v", 5, k=64).collect()] == [(i, 2) for i in range(5)]
+    assert asked == [64]
+
+
 def test_text_nulls_big_numbers_and_empty(spark):
     df = spark.createDataFrame([("b",), ("b",), (None,), (None,), (None,), ("a",), ("",), ("",), ("x" * 100_000,)], "v string")
     assert [tuple(r) for r in heavy_hitters.top(df, "v", 3).collect()] == [("", 2), ("b", 2), ("a", 1)]
