@@ -9,7 +9,12 @@ m - k (q + 1). ``m`` is the length of the shortest stretch of ``words`` words of
 stretch meets bound and score. Both texts are compared as words in lower case (runs of letters and digits) with one space
 between, so layout and punctuation don't matter.
 
-The passages are indexed in blocks of bounded size, and all documents are scanned once per block; nothing is shuffled.
+``q`` is each passage's own: the largest of 16, 8, 4 and 2 (halved down from the one asked for) with which its shortest stretch
+leaves a bound of at least one. Passages of one q share an index, so what a passage finds never depends on which
+others it is searched with.
+
+The passages, a stated set, are indexed in blocks of bounded size, and all documents are scanned once per block; nothing is
+shuffled.
 
 Defined results: null or short passages (under ``words`` words) cannot be held by a document; null texts hold nothing;
 repeated documents and repeated passages are each reported under their own id; texts of any length are searched whole.
@@ -69,23 +74,20 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_MUL), n, 1 << 64))
 
 
+def own_q(m: int, edits: int, q: int) -> int:
+    """The largest q, halved from the one asked for, whose grams no ``edits`` edits of a stretch of m characters can all hit."""
+    while q > 2 and m + 1 - q * (edits + 1) < 1:
+        q //= 2
+    return q
+
+
 class Index:
-    """The q-grams of a block of passages, sorted by hash."""
+    """The q-grams of a block of passages of one q, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], least_words: int, edits: int, q: int):
-        self.ids, self.texts, self.words, self.m = [], [], [], []
-        for i, passage in items:
-            w = words(passage)
-            if len(w) >= least_words:
-                ends = np.cumsum([len(x) + 1 for x in w])
-                spans = ends[least_words - 1 :] - np.concatenate(([0], ends[:-least_words])) - 1
-                self.ids.append(i)
-                self.texts.append(" ".join(w))
-                self.words.append(w)
-                self.m.append(int(spans.min()))
-        m = min(self.m, default=2 * q)
-        self.q = max(2, min(q, m // (edits + 1)))
-        self.edits, self.least_words = edits, least_words
+    def __init__(self, items: list[tuple[int, list[str], int]], least_words: int, edits: int, q: int):
+        self.q, self.edits, self.least_words = q, edits, least_words
+        self.ids, self.words, self.m = [i for i, _, _ in items], [w for _, w, _ in items], [m for _, _, m in items]
+        self.texts = [" ".join(w) for w in self.words]
         self.codes = [_codes(t) for t in self.texts]
         grams = [_grams(c, self.q) for c in self.codes]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -101,6 +103,18 @@ class Index:
         w = least_words
         self.runs = [{" ".join(x[i : i + w]) for i in range(len(x) - w + 1)} for x in self.words]
 
+    @staticmethod
+    def of(passages: list[tuple[int, str]], least_words: int, edits: int, q: int) -> list[Index]:
+        """One index for each q that occurs; passages of fewer words than ``least_words`` are left out."""
+        by_q: dict[int, list] = {}
+        for i, passage in passages:
+            w = words(passage)
+            if len(w) >= least_words:
+                ends = np.cumsum([len(x) + 1 for x in w])
+                m = int((ends[least_words - 1 :] - np.concatenate(([0], ends[:-least_words])) - 1).min())
+                by_q.setdefault(own_q(m, edits, q), []).append((i, w, m))
+        return [Index(items, least_words, edits, k) for k, items in sorted(by_q.items())]
+
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the corpus, item, position in the passage) of every common q-gram."""
         at = np.flatnonzero(self.table[grams >> np.uint64(64 - TABLE_BITS)])
@@ -157,7 +171,7 @@ def _longest_run(doc: list[str], index: Index, item: int) -> int:
     return best + w - 1 if best else 0
 
 
-def scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int | None, list[str]]] = []
     size = 0
     for b in batches:
@@ -166,9 +180,9 @@ def scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordB
                 held.append((doc, words(text)))
                 size += len(text)
             if size >= BATCH_CHARS:
-                yield _scan(held, index)
+                yield from (_scan(held, index) for index in indexes)
                 held, size = [], 0
-    yield _scan(held, index)
+    yield from (_scan(held, index) for index in indexes)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -242,7 +256,7 @@ def regions(
     out, block, size = None, [], 0
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Index(block, least_words, edits, q))  # bounded by BLOCK_CHARS
+        sent = spark.sparkContext.broadcast(Index.of(block, least_words, edits, q))  # bounded by BLOCK_CHARS
         return corpus.mapInArrow(lambda it: scan(it, sent.value), REGIONS)
 
     for i, p in known.toLocalIterator():

@@ -174,6 +174,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_regions(spark, d).where("run >= 13").select("doc_id", "item_id")
 
 
+def _shingles_sql(key: str, text: str, source: str) -> str:
+    return f"""
+SELECT {key}, array_to_string(w[i:i + 12], ' ') AS s FROM (
+  SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (
+    SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE {text} IS NOT NULL) WHERE len(w) >= 13)"""
+
+
+SQL["p8_found"] = f"""
+SELECT DISTINCT d.doc_id, i.item_id
+FROM ({_shingles_sql('doc_id', 'text', 'documents')}) d JOIN ({_shingles_sql('item_id', 'passage', 'eval_item')}) i ON i.s = d.s"""
+
+
 def _counted(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(mixing.with_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]))
 

@@ -114,6 +114,24 @@ def test_edits_within_budget(spark):
     assert [r.doc for r in got] == [1]
 
 
+def test_a_passage_finds_the_same_whatever_it_is_searched_with(spark, monkeypatch):
+    """A passage of one-letter words asks for a small q; it must not change what others find."""
+    items = passages(12, 5)
+    r = random.Random(3)
+    docs = []
+    for d in range(80):
+        w = items[r.randrange(12)][1].split()[: r.randrange(12, 40)]
+        w[r.randrange(len(w))] += "z"
+        docs.append((d, " ".join([*passages(1, d + 70)[0][1].split(), *w])))
+    short = (900, "a b c d e f g h i j k l m n")
+    docs.append((99, "x " + short[1] + " y"))
+    alone = {tuple(x) for x in found(spark, docs, items)}
+    both = {tuple(x) for x in found(spark, docs, [*items, short])}
+    assert alone and {x for x in both if x[1] != 900} == alone and (99, 900) in {x[:2] for x in both}
+    monkeypatch.setattr(cn, "BLOCK_CHARS", 300)
+    assert {tuple(x) for x in found(spark, docs, [short, *items])} == both
+
+
 def test_empty_tables(spark):
     assert found(spark, [], passages(2)) == []
     assert found(spark, passages(2), []) == []
