@@ -6,10 +6,14 @@ class per place, from one script or another) form a lattice in which Viterbi sea
 bigrams of the corpus and a price for each change of script. Classes are disjoint and the lattice depends on the
 classes only, so tokens of the same look get the same form, and tokens of other looks never do.
 
-Classes come from the public confusables data that the JVM's ICU library holds, taken within the same kind (capital,
-small, digit, sign), since case, digits and hyphens are visible differences. ASCII characters are the heads of their
-classes. A token in which some letter has no reading outside Latin is Latin without search; this is what the search
-would give, as a change of script costs more than any bigrams can.
+Classes come from the public confusables data that the JVM's ICU library holds: all characters of one look. Case, digits
+and signs are visible differences, so a look that ASCII writes in several kinds (capital, small, digit, sign) is parted by
+kind, and so is one that has both capitals and small letters; ASCII characters are never joined with one another. A
+class is headed by its ASCII character, or else by its smallest one. A token in which some letter has no reading outside Latin
+is Latin without search; this is what the search would give, as a change of script costs more than any bigrams can.
+
+Equality of forms is therefore equality of classes: the search cannot join or part texts, it chooses the spelling in which
+the common form is written.
 
 Defined results: null stays null; a text of blanks and ignorable characters becomes empty; blanks at the ends go, blanks
 inside stay as many as they were; texts of any length are done whole.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +37,6 @@ SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")  # scripts of readings
 # Default-ignorable characters outside category Cf, and Cf characters that are visible.
 IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏⁥ㅤﾠ"
 VISIBLE_CF = "؀؁؂؃؄؅۝܏࢐࢑࣢"
-RANGES = ((0xA1, 0x3400), (0xA000, 0xAC00), (0xF900, 0xFFF0), (0x10000, 0x12000), (0x16A00, 0x17000), (0x1D000, 0x1F800))
 
 
 def kind(c: str) -> str:
@@ -45,30 +49,45 @@ def script(c: str) -> str | None:
     return unicodedata.name(c, "").split(" ")[0] if unicodedata.category(c)[0] == "L" else None
 
 
+def classes(looks: dict[str, str]) -> dict[str, str]:
+    """Character to the head of its class, from each character's skeleton; heads themselves and lone characters are left out."""
+    by_look: dict[str, list[str]] = {}
+    for c in sorted(looks):
+        by_look.setdefault(looks[c], []).append(c)
+    out: dict[str, str] = {}
+    for look, members in by_look.items():
+        plain = [c for c in members if c.isascii()]
+        kinds = {kind(c) for c in plain}
+        letters = {kind(c) for c in members} & {"Lu", "Ll"}
+        # what is told apart by kind within this look
+        apart = len(kinds) > 1 or len(letters) > 1
+        groups: dict[str, list[str]] = {}
+        for c in members:
+            k = kind(c)
+            groups.setdefault(k if apart or k == "Nd" and kinds != {"Nd"} else "", []).append(c)
+        for group in groups.values():
+            own = [c for c in group if c.isascii()]
+            # of several ASCII signs of one look, such as ' and `, the one that is its own skeleton stands for the others
+            head = (look if look in own else own[0]) if own else group[0]
+            out.update({c: head for c in group if c != head and not c.isascii()})
+    return out
+
+
+_heads: dict[str, str] = {}
+
+
 def heads(spark: SparkSession) -> dict[str, str]:
-    """Character to the ASCII head of its class, for every character that looks like one ASCII character of its kind."""
-    jvm = spark._jvm
-    checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    ascii_ = [chr(i) for i in range(33, 127)]
-    others = [
-        c
-        for lo, hi in RANGES
-        for c in map(chr, range(lo, hi))
-        if unicodedata.category(c)[0] in "LNPS" and unicodedata.normalize("NFKD", c) == c
-    ]
-    every = ascii_ + others
-    looks = checker.getSkeleton("\n".join(every)).split("\n")
-    assert len(looks) == len(every)
-    by_look: dict[tuple[str, str], list[str]] = {}
-    for c, look in zip(ascii_, looks):
-        by_look.setdefault((look, kind(c)), []).append(c)
-    out = {}
-    for c, look in zip(others, looks[len(ascii_) :]):
-        like = by_look.get((look, kind(c)), [])
-        if len(like) == 1:
-            out[c] = like[0]
-    # hyphens and quotes that ICU keeps apart from their ASCII sign
-    return out | {"‐": "-", "‑": "-", "‘": "'", "’": "'", "“": '"', "”": '"'}
+    """Character to the head of its class, for every character that has one and is not its head."""
+    if not _heads:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        every = [c for c in map(chr, range(33, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LNPS" and unicodedata.normalize("NFKD", c) == c]
+        looks: dict[str, str] = {}
+        for i in range(0, len(every), 1 << 15):
+            part = every[i : i + (1 << 15)]
+            looks.update(zip(part, checker.getSkeleton("\n".join(part)).split("\n"), strict=True))
+        # hyphens and quotes that ICU keeps apart from their ASCII sign
+        _heads.update(classes(looks) | {"‐": "-", "‑": "-", "‘": "'", "’": "'", "“": '"', "”": '"'})
+    return _heads
 
 
 class Looks:
@@ -78,8 +97,8 @@ class Looks:
         self.head = head
         self.readings: dict[str, dict[str, str]] = {}  # head -> script -> character
         for a in sorted(set(head.values())):
-            if a.isalpha():
-                self.readings[a] = {"LATIN": a}
+            if a.isalpha() and (s := script(a)) in SCRIPTS:
+                self.readings[a] = {s: a}
         for c in sorted(head):
             s = script(c)
             if s in SCRIPTS and head[c] in self.readings:
