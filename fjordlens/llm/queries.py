@@ -210,13 +210,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(scratch.cut(mixing.mixed(counted, rated, "doc_id")), rated)
 
 
-LEAST_SCORE = 0.3  # candidates, most documents among them; the check on running sentences decides
-
-
 def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "p10")
     docs = table(spark, d, "documents").withColumn("lang", text_quality.language("lang"))
-    stats = scratch.cut(text_quality.with_statistics(docs, "text", ["doc_id", "lang"]))
+    usage = text_quality.learn(docs, "text", scratch)
+    stats = scratch.cut(text_quality.with_statistics(docs, "text", ["doc_id", "lang"], usage))
     return stats, text_quality.scored(stats, "doc_id", scratch)
 
 
@@ -227,10 +225,9 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are no running text: of an outlying score, and with less than half of their words in sentences."""
-    stats, scores = _quality(spark, d)
-    odd = scores.where(F.col("score") >= LEAST_SCORE)
-    return stats.where("sentence_ratio < 0.5").select("doc_id").join(odd.select("doc_id"), "doc_id").distinct()
+    """Documents that are no running text: those whose outlier score reaches the cut."""
+    _, scores = _quality(spark, d)
+    return scores.where(F.col("score") >= text_quality.CUT).select("doc_id")
 
 
 QUERIES = {
