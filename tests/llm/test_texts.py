@@ -235,7 +235,7 @@ def test_accuracy_on_texts_of_the_kinds(judged):
 def test_common_words_and_pairs_are_learned(spark):
     rows = [(f"the cat {i} sat on the mat{chr(97 + i % 20)}x", "en") for i in range(40)] + [("le chat", "fr")] * 3 + [(None, "en"), (" ", "en")]
     usage = text_quality.learn(spark.createDataFrame(rows, "text string, lang string").repartition(3), "text", Scratch(spark, "t"))
-    assert usage.words == {w: ["en"] for w in ("the", "cat", "sat", "on")}
+    assert usage.words == {w: ("en",) for w in ("the", "cat", "sat", "on")}
     assert usage.pairs == {("the", "cat"), ("sat", "on"), ("on", "the")}
     got = dict(zip(text_quality.STATS, text_quality.statistics("On the cat: the on.\nA dog sat there. Why not?", usage)))
     assert (got["words"], got["line_end_ratio"], got["sentence_ratio"], got["sentence_words"]) == (11.0, 1.0, 9 / 11, 4.0)  # stretches of 2, 4 and 5 words
