@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordlens.functions import canon, fixed
 from fjordlens.operators import hierarchy, lookups, multiset_fold, traversal
+from fjordlens.plans.runtime import Scratch, global_rank
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -229,58 +233,110 @@ def g1_guarded(spark: SparkSession, d: str) -> DataFrame:
     return _g1_summary(spark, d, _starts(spark, d), 12)
 
 
-def _g2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _g2(spark: SparkSession, d: str, guard: int = fixed.VISITED_GUARD) -> tuple[DataFrame, DataFrame]:
+    """(input, exceeded) of each input, exceeded if the ancestry of one of its targets goes beyond the guard; and
+    (input, node) of those that don't: targets and their ancestry."""
     inputs = table(spark, d, "serving_probe").where("Op = 'S4' and Qid is not null").select(F.col("Qid").alias("input")).distinct()
     direct = inputs.join(table(spark, d, "instance_of").select(F.col("SubjectQid").alias("input"), F.col("TargetQid").alias("seed")), "input").distinct()
     met = traversal.ancestry(direct.select("seed"), _edges(spark, d))
-    far = direct.join(met, "seed").select("input", "node")
-    return inputs, direct.select("input", F.col("seed").alias("node")).unionByName(far).distinct()
+    over = met.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") + 1 > guard).select("seed")
+    bad = direct.join(over, "seed", "left_semi").select("input", F.lit(True).alias("bad")).distinct()
+    judged = inputs.join(bad, "input", "left").select("input", F.coalesce("bad", F.lit(False)).alias("exceeded"))
+    fit = direct.join(bad, "input", "left_anti")
+    far = fit.join(met, "seed").select("input", "node")
+    return judged, fit.select("input", F.col("seed").alias("node")).unionByName(far).distinct()
 
 
-_G2 = f"""
+def _g2_sql(guard: int = fixed.VISITED_GUARD) -> str:
+    return f"""
 WITH RECURSIVE inputs AS ({_G2_INPUTS}),
 direct AS (SELECT DISTINCT i.input, e.TargetQid AS seed FROM inputs i JOIN instance_of e ON e.SubjectQid = i.input),
 seeds AS (SELECT DISTINCT seed FROM direct), {_WALK},
-found AS (SELECT input, seed AS node FROM direct UNION SELECT d.input, m.node FROM direct d JOIN met m ON m.seed = d.seed),
-listed AS (SELECT i.input, count(node) AS n, string_agg({d64('node')}, '' ORDER BY node) AS h
+over AS (SELECT seed FROM met GROUP BY 1 HAVING count(*) + 1 > {guard}),
+bad AS (SELECT DISTINCT input FROM direct WHERE seed IN (SELECT seed FROM over)),
+found AS (SELECT input, node FROM (SELECT input, seed AS node FROM direct UNION SELECT d.input, m.node FROM direct d JOIN met m ON m.seed = d.seed)
+  WHERE input NOT IN (SELECT input FROM bad)),
+listed AS (SELECT i.input, i.input IN (SELECT input FROM bad) AS exceeded, count(node) AS n, string_agg({d64('node')}, '' ORDER BY node) AS h
   FROM inputs i LEFT JOIN found f ON f.input = i.input GROUP BY 1)"""
 
 
-@query(f"{_G2} SELECT input AS qid, node FROM found")
+@query(f"{_g2_sql()} SELECT input AS qid, node FROM found")
 def g2_structural(spark: SparkSession, d: str) -> DataFrame:
-    """For each input concept its instance-of targets and their ancestry."""
+    """For each input concept its instance-of targets and their ancestry; nothing for inputs beyond the guard."""
     return _g2(spark, d)[1].withColumnRenamed("input", "qid")
 
 
-def _g2_listed(spark: SparkSession, d: str) -> DataFrame:
-    inputs, found = _g2(spark, d)
-    return traversal.ordered_list(inputs.join(found, "input", "left"), "input", "node")
+def _g2_listed(spark: SparkSession, d: str, guard: int = fixed.VISITED_GUARD) -> DataFrame:
+    """(input, exceeded, cardinality, hexed): lists are bounded, as every target's ancestry is within the guard."""
+    judged, found = _g2(spark, d, guard)
+    listed = traversal.ordered_list(judged.where("not exceeded").join(found, "input", "left"), "input", "node")
+    return judged.join(listed, "input", "left")
 
 
-@query(f"{_G2} SELECT input AS qid, n AS cardinality, sha256(unhex({d64('n')} || coalesce(h, ''))) AS digest FROM listed")
-def g2_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Cardinality and digest of each input's structural set."""
-    return _g2_listed(spark, d).select(
-        F.col("input").alias("qid"), "cardinality", canon.digest(F.concat(canon.be64("cardinality"), "hexed")).alias("digest")
+def _g2_summary(spark: SparkSession, d: str, guard: int) -> DataFrame:
+    over = F.col("exceeded")
+    return _g2_listed(spark, d, guard).select(
+        F.col("input").alias("qid"),
+        F.when(~over, F.col("cardinality")).alias("cardinality"),
+        F.when(~over, canon.digest(F.concat(canon.be64("cardinality"), "hexed"))).alias("digest"),
+        F.when(over, F.lit(f"guard exceeded ({guard}) during G2 ancestry")).alias("error"),
     )
 
 
-def _stream_digest(spark: SparkSession, rows: DataFrame, head: str = "") -> str:
-    """The hash of the hex strings of a sorted table of one column, streamed partition by partition."""
-    h = hashlib.sha256(bytes.fromhex(head))
-    for r in rows.toLocalIterator():
-        h.update(bytes.fromhex(r[0]))
-    return h.hexdigest()
+def _g2_summary_sql(guard: int) -> str:
+    return f"""{_g2_sql(guard)} SELECT input AS qid, CASE WHEN NOT exceeded THEN n END AS cardinality,
+  CASE WHEN NOT exceeded THEN sha256(unhex({d64('n')} || coalesce(h, ''))) END AS digest,
+  CASE WHEN exceeded THEN 'guard exceeded ({guard}) during G2 ancestry' END AS error FROM listed"""
+
+
+@query(_g2_summary_sql(fixed.VISITED_GUARD))
+def g2_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Cardinality and digest of each input's structural set, or its error."""
+    return _g2_summary(spark, d, fixed.VISITED_GUARD)
+
+
+@query(_g2_summary_sql(12))
+def g2_guarded(spark: SparkSession, d: str) -> DataFrame:
+    """The same under a guard of 12, which some inputs exceed."""
+    return _g2_summary(spark, d, 12)
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    h, n = hashlib.sha256(), 0
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            h.update(bytes.fromhex(x))
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([h.hexdigest()])], ["n", "digest"])
+
+
+def stream_digest(rows: DataFrame, order: list, hexed: Column, head: Column | None = None) -> DataFrame:
+    """(n, digest): the hash of the hex strings of all rows in order, after those of ``head``. The hash is sequential by
+    definition, so one task takes it in constant memory; the sort before it is spread over ranges and merged by
+    rank (``global_rank``), and the driver sees one row."""
+    scratch = Scratch(rows.sparkSession, "stream")
+    ranked = global_rank(rows.select(hexed.alias("_hex"), *(c.alias(f"_o{i}") for i, c in enumerate(order))), [f"_o{i}" for i in range(len(order))], "_rank", scratch)
+    body = ranked.select("_rank", "_hex")
+    if head is not None:
+        first = body.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_hex") / 2), F.lit(0)).cast("bigint").alias("bytes"))
+        body = body.unionByName(first.select(F.lit(-1).cast("bigint").alias("_rank"), head.alias("_hex")))
+    laid = body.repartition(1).sortWithinPartitions("_rank").select("_hex")
+    out = laid.mapInArrow(_stream, "n bigint, digest string")
+    return out if head is None else out.withColumn("n", F.col("n") - 1)
 
 
 @query(f"""
-{_G2} SELECT count(*) AS inputs, sha256(unhex(string_agg({d64('input')} || {d64('n')} || coalesce(h, ''), '' ORDER BY input))) AS digest
+{_g2_sql()} SELECT count(*) AS inputs, CASE WHEN bool_or(exceeded) THEN 'ERROR' ELSE 'VALID' END AS status,
+  CASE WHEN NOT bool_or(exceeded) THEN sha256(unhex(string_agg({d64('input')} || {d64('n')} || coalesce(h, ''), '' ORDER BY input))) END AS digest
 FROM listed""")
 def g2_batch_digest(spark: SparkSession, d: str) -> DataFrame:
-    """The digest of the whole batch of inputs in order."""
-    listed = _g2_listed(spark, d)
-    digest = _stream_digest(spark, listed.orderBy("input").select(F.concat(canon.be64("input"), canon.be64("cardinality"), "hexed")))
-    return listed.agg(F.count("*").alias("inputs")).withColumn("digest", F.lit(digest))
+    """The digest of the whole batch of inputs in order; none, and ERROR, if an input has an error."""
+    listed = Scratch(spark, "g2").cut(_g2_listed(spark, d))
+    digest = stream_digest(listed, [F.col("input")], F.concat(canon.be64("input"), canon.be64(F.coalesce("cardinality", F.lit(0))), F.coalesce("hexed", F.lit(""))))
+    bad = listed.agg(F.coalesce(F.bool_or("exceeded"), F.lit(False)).alias("bad"))
+    return digest.withColumn("bad", bad.scalar()).select(
+        F.col("n").alias("inputs"), F.when(F.col("bad"), "ERROR").otherwise("VALID").alias("status"), F.when(~F.col("bad"), F.col("digest")).alias("digest")
+    )
 
 
 # ---- full scans ----
@@ -375,8 +431,7 @@ def _sorted_sql(op: str, row: str, order: str, source: str) -> str:
     _sorted_sql("A5", f"{d64('target')} || {d64('fanout')} || {_dmaybe('en_label')} || {_dmaybe('nb_label')}", "target", _A5),
 ]))
 def analytical_digests(spark: SparkSession, d: str) -> DataFrame:
-    """The digest of each aggregate in its order. The hash is sequential by definition: the rows are sorted by the
-    cluster and streamed through one hash."""
+    """The digest of each aggregate in its order."""
     edge = F.concat(canon.be64("target"), canon.be64("fanout"))
     parts = {
         "A2": (a2_lang_kind(spark, d), [canon.ordinal("lang"), canon.ordinal("lex_kind")], F.concat(canon.text("lang"), canon.text("lex_kind"), canon.be64("n"))),
@@ -384,9 +439,9 @@ def analytical_digests(spark: SparkSession, d: str) -> DataFrame:
         "A4": (a4_p279_fanout(spark, d), [F.col("target")], edge),
         "A5": (a5_p31_labels(spark, d), [F.col("target")], F.concat(edge, canon.maybe_text("en_label"), canon.maybe_text("nb_label"))),
     }
-    out = []
-    for op, (df, order, row) in parts.items():
-        hexed = df.withColumn("hexed", row)
-        n, size = hexed.agg(F.count("*"), F.coalesce(F.sum(F.length("hexed") / 2), F.lit(0)).cast("bigint")).collect()[0]
-        out.append((op, n, _stream_digest(spark, hexed.orderBy(*order).select("hexed"), f"{n:016X}{size:08X}")))
-    return spark.createDataFrame(out, "op string, cardinality bigint, digest string")
+    head = F.concat(canon.be64("n"), canon.be32("bytes"))
+    out = [
+        stream_digest(df, order, row, head).select(F.lit(op).alias("op"), F.col("n").alias("cardinality"), "digest")
+        for op, (df, order, row) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, out)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordlens.functions import canon, fixed
 from fjordlens.operators import tiers
-from fjordlens.plans.runtime import Scratch, global_rank
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -240,9 +243,53 @@ def sample_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH d AS (
+  SELECT 'instance_of' AS relation, c.Qid, coalesce(n, 0) AS k FROM concept c LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM instance_of GROUP BY 1) e ON e.SubjectQid = c.Qid WHERE InT1
+  UNION ALL
+  SELECT 'subclass_of', c.Qid, coalesce(n, 0) FROM concept c LEFT JOIN (SELECT SubjectQid, count(*) AS n FROM subclass_of GROUP BY 1) e ON e.SubjectQid = c.Qid WHERE InT1)
+SELECT relation, count(*) AS concepts, count(*) FILTER (WHERE k = 0) AS zero, min(k) AS min, max(k) AS max, quantile_disc(k, 0.5) AS median,
+  quantile_disc(k, 0.9) AS p90, quantile_disc(k, 0.95) AS p95, quantile_disc(k, 0.99) AS p99, round(CAST(sum(k) AS DOUBLE) / count(*), 4) AS mean
+FROM d GROUP BY 1""")
+def t1_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution of links per sampled concept, those without links filled in with 0."""
+    t1 = table(spark, d, "concept").where("InT1").select(F.col("Qid").alias("qid"))
+    parts = []
+    for name in ("instance_of", "subclass_of"):
+        deg = t1.join(tiers.out_degree(table(spark, d, name), "k"), "qid", "left").select(F.lit(name).alias("relation"), F.coalesce("k", F.lit(0)).alias("degree"))
+        parts.append(deg.groupBy("relation", "degree").agg(F.count("*").alias("n")))
+    cum = _cumulated(parts[0].unionByName(parts[1]))
+    at = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return cum.groupBy("relation").agg(
+        F.max("total").alias("concepts"), F.sum(F.when(F.col("degree") == 0, F.col("n")).otherwise(0)).alias("zero"), F.min("degree").alias("min"),
+        F.max("degree").alias("max"), *(_from_hist(cum, F.ceil(F.col("total") * F.lit(q))).alias(k) for k, q in at.items()),
+        F.round(F.sum(F.col("degree") * F.col("n")) / F.max("total"), 4).alias("mean"),
+    )
+
+
+_HINTED = "SELECT TargetQid AS target, count(*) AS full_fanout FROM (SELECT TargetQid FROM instance_of UNION ALL SELECT TargetQid FROM candidate_row WHERE Relation = 'instance_of') GROUP BY 1"
+
+
+@query(f"""
+WITH h AS (SELECT * FROM ({_HINTED}) ORDER BY full_fanout DESC, target LIMIT {fixed.PROBE_HINTS}),
+s AS (SELECT TargetQid AS target, count(*) AS n FROM instance_of GROUP BY 1),
+x AS (SELECT h.target, full_fanout, coalesce(s.n, 0) AS sampled, full_fanout * 0.025::DOUBLE AS e FROM h LEFT JOIN s ON s.target = h.target)
+SELECT target, full_fanout, sampled, round(e, 4) AS expected, round(sampled / e, 4) AS ratio FROM x""")
+def hint_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest targets of a wider source (the relation and its copy stand for it) with their links in the sample, and
+    how these compare with the share that was sampled (a top-k report)."""
+    inst = table(spark, d, "instance_of").select("TargetQid")
+    wider = inst.unionByName(table(spark, d, "candidate_row").where("Relation = 'instance_of'").select("TargetQid"))
+    fan = lambda df, n: df.groupBy(F.col("TargetQid").alias("target")).agg(F.count("*").alias(n))
+    hints = fan(wider, "full_fanout").orderBy(F.desc("full_fanout"), "target").limit(fixed.PROBE_HINTS)
+    e = F.col("full_fanout") * F.lit(fixed.SAMPLE_BELOW / fixed.SAMPLE_MODULUS)
+    sampled = F.coalesce("n", F.lit(0))
+    return hints.join(fan(inst, "n"), "target", "left").select("target", "full_fanout", sampled.alias("sampled"), F.round(e, 4).alias("expected"), F.round(sampled / e, 4).alias("ratio"))
+
+
 # ---- integrity gates: (relation, gate, violations) ----
 def _gate(relation: str, name: str, violations: Column) -> Column:
-    return F.struct(F.lit(relation).alias("relation"), F.lit(name).alias("gate"), violations.cast("bigint").alias("violations"))
+    return F.struct(F.lit(relation).alias("relation"), F.lit(name).alias("gate"), F.coalesce(violations.cast("bigint"), F.lit(0)).alias("violations"))
 
 
 def _gates(df: DataFrame, *gates: Column) -> DataFrame:
@@ -319,21 +366,28 @@ def edge_integrity(spark: SparkSession, d: str) -> DataFrame:
     inst, sub = table(spark, d, "instance_of"), table(spark, d, "subclass_of")
     concept = table(spark, d, "concept")
     known = concept.select(F.col("Qid").alias("SubjectQid"), F.col("InT1").alias("t1"))
-    t2 = concept.where("InT2").select(F.col("Qid").alias("qid"))
     one = _gates(
-        inst.join(known, "SubjectQid", "left"),
-        _gate("instance_of", "subject_unknown", F.count_if(F.col("t1").isNull())),
-        _gate("instance_of", "subject_not_t1", F.count_if(~F.col("t1"))),
-        _gate("instance_of", "target_not_positive", F.count_if(F.col("TargetQid") <= 0)),
+        # equal links first: each is looked up once, with its number
+        inst.groupBy("SubjectQid", "TargetQid").agg(F.count("*").alias("n")).join(known, "SubjectQid", "left"),
+        _gate("instance_of", "subject_unknown", F.sum(F.when(F.col("t1").isNull(), F.col("n")))),
+        _gate("instance_of", "subject_not_t1", F.sum(F.when(~F.col("t1"), F.col("n")))),
+        _gate("instance_of", "target_not_positive", F.sum(F.when(F.col("TargetQid") <= 0, F.col("n")))),
+        _gate("instance_of", "repeated_link", F.count_if(F.col("n") > 1)),
+    )
+    # both ends of all links against the concepts, in one join of numbers per end
+    ends = (
+        sub.select(F.explode(F.array(F.struct(F.lit("s").alias("end"), F.col("SubjectQid").alias("qid")), F.struct(F.lit("t").alias("end"), F.col("TargetQid").alias("qid")))).alias("e"))
+        .select("e.*").groupBy("qid").agg(F.count_if(F.col("end") == "s").alias("s"), F.count_if(F.col("end") == "t").alias("t"))
+    )
+    t2 = concept.where("InT2").select(F.col("Qid").alias("qid"), F.lit(True).alias("t2")).distinct()
+    both = _gates(
+        ends.join(t2, "qid", "full"),
+        _gate("subclass_of", "subject_not_t2", F.sum(F.when(F.col("t2").isNull(), F.col("s")))),
+        _gate("subclass_of", "target_not_t2", F.sum(F.when(F.col("t2").isNull(), F.col("t")))),
+        _gate("subclass_of", "t2_without_link", F.count_if(F.col("s").isNull())),
     )
-    rest = [
-        _count(sub.join(t2.withColumnRenamed("qid", "SubjectQid"), "SubjectQid", "left_anti"), "subclass_of", "subject_not_t2"),
-        _count(sub.join(t2.withColumnRenamed("qid", "TargetQid"), "TargetQid", "left_anti"), "subclass_of", "target_not_t2"),
-        _count(t2.distinct().join(tiers.endpoints(sub), "qid", "left_anti"), "subclass_of", "t2_without_link"),
-        _count(sub.groupBy("SubjectQid", "TargetQid").count().where("count > 1"), "subclass_of", "repeated_link"),
-        _count(inst.groupBy("SubjectQid", "TargetQid").count().where("count > 1"), "instance_of", "repeated_link"),
-    ]
-    return reduce(DataFrame.unionByName, rest, one)
+    again = _count(sub.groupBy("SubjectQid", "TargetQid").count().where("count > 1"), "subclass_of", "repeated_link")
+    return one.unionByName(both).unionByName(again)
 
 
 def _order_sql(name: str, first: str, second: str) -> str:
@@ -354,18 +408,41 @@ _LEX_KEY = "Lang || chr(31) || CASE WHEN LexKind = 'label' THEN '0' ELSE '1' END
 def order_gates(spark: SparkSession, d: str) -> DataFrame:
     """Rows, in the order of RowId, that go back in their group's order or do not ascend strictly within it.
 
-    The row before is found by joining on the global rank, made by ranges; there is no window over the whole table."""
+    Rows are sorted by ranges; each range compares neighbours as they stream by and gives one row with its counts and its
+    ends, and the ends of neighbouring ranges are compared on the driver. There is no window and no self-join."""
     lex = F.concat_ws("\x1f", "Lang", F.when(F.col("LexKind") == "label", "0").otherwise("1"), "Value")
     out = []
     for name, a, b in (("instance_of", "SubjectQid", F.col("TargetQid")), ("subclass_of", "SubjectQid", F.col("TargetQid")), ("lexical_entry", "Qid", canon.ordinal(lex))):
         rows = table(spark, d, name).select("RowId", F.col(a).alias("a"), b.alias("b"))
-        ranked = global_rank(rows, ["RowId"], "r", Scratch(spark, "order"))
-        before = ranked.select((F.col("r") + 1).alias("r"), F.col("a").alias("pa"), F.col("b").alias("pb"))
-        out.append(
-            _gates(
-                ranked.join(before, "r"),
-                _gate(name, "group_order", F.count_if(F.col("a") < F.col("pa"))),
-                _gate(name, "strict_order", F.count_if((F.col("a") == F.col("pa")) & (F.col("b") <= F.col("pb")))),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+        kind = dict(rows.dtypes)["b"]
+        schema = f"part int, back bigint, flat bigint, a0 bigint, b0 {kind}, a1 bigint, b1 {kind}"
+        laid = rows.repartitionByRange("RowId").sortWithinPartitions("RowId").select("a", "b")
+        ranges = laid.mapInArrow(_neighbours, schema).orderBy("part").collect()  # one row per range
+        back, flat = (sum(r[c] for r in ranges) for c in ("back", "flat"))
+        for before, r in zip(ranges, ranges[1:]):
+            back += before.a1 is not None and r.a0 is not None and r.a0 < before.a1
+            flat += before.a1 == r.a0 is not None and before.b1 is not None and r.b0 is not None and r.b0 <= before.b1
+        out += [(name, "group_order", back), (name, "strict_order", flat)]
+    return spark.createDataFrame(out, "relation string, gate string, violations bigint")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbours out of order in one sorted range, and its first and last row; nothing for an empty one."""
+    first = last = None
+    back = flat = 0
+    for t in batches:
+        if not t.num_rows:
+            continue
+        a, b = t.column(0), t.column(1)
+        if last is not None:  # the last row of the batch before
+            a, b = pa.concat_arrays([last[0], a]), pa.concat_arrays([last[1], b])
+        first = first or (a[:1], b[:1])
+        n = len(a) - 1
+        same = pc.equal(a[1:], a[:n])
+        back += pc.sum(pc.less(a[1:], a[:n])).as_py() or 0
+        flat += pc.sum(pc.and_(same, pc.less_equal(b[1:], b[:n]))).as_py() or 0
+        last = (a[n:], b[n:])
+    if first is not None:
+        one = lambda x: pa.array([x], pa.int64())
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_arrays([part, one(back), one(flat), *first, *last], ["part", "back", "flat", "a0", "b0", "a1", "b1"])
