@@ -11,15 +11,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordlens.functions import canon
+from fjordlens.functions import canon, fixed
+from fjordlens.operators import tiers
 from fjordlens.plans.corpus import _ENDPOINTS, _bucket_sql
-from fjordlens.functions import fixed
 from fjordlens.plans.runtime import Scratch
-from fjordlens.sources import entities
+from fjordlens.sources import binary, entities, packages
 from fjordlens.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+RELATIONS = ("concept", "lexical_entry", "instance_of", "subclass_of")
 
 #: Lines that are no items of the corpus, with their outcome.
 ODD = (
@@ -27,6 +28,8 @@ ODD = (
     ('{"type":"item","id":7}', "Malformed"), ('{"type":"item","id":"Q7","missing":""}', "Missing"), ('{"type":"item","id":"X7"}', "Malformed"),
 )
 
+NOT_UTF8 = b'{"type":"item","id":"Q9","note":"\xff"}'
+
 
 def query(sql: str | None = None):
     def put(f):
@@ -41,7 +44,7 @@ def query(sql: str | None = None):
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "lines")
     made = entities.written(*(table(spark, d, n) for n in ("concept", "lexical_entry", "instance_of", "subclass_of")))
-    odd = spark.createDataFrame([(x,) for x, _ in ODD], "value string")
+    odd = spark.createDataFrame([(bytearray(x.encode()),) for x, _ in ODD] + [(bytearray(NOT_UTF8),)], "b binary").select(F.col("b").cast("string").alias("value"))
     at = f"{scratch.root}/dump"
     made.unionByName(odd).write.option("compression", "gzip").text(at)
     return entities.lines(spark, at)
@@ -58,7 +61,7 @@ UNION ALL SELECT DISTINCT SubjectQid, 'P279', TargetQid FROM subclass_of"""
 
 
 @query("\nUNION ALL\n".join(
-    f"SELECT '{o}' AS outcome, {sum(x == o for _, x in ODD)} + (SELECT count(*) FROM concept WHERE {o == 'Item'}) AS n"
+    f"SELECT '{o}' AS outcome, {sum(x == o for _, x in ODD) + (o == 'Malformed')} + (SELECT count(*) FROM concept WHERE {o == 'Item'}) AS n"
     for o in ("Ignore", "Malformed", "Missing", "NonItem", "Item")
 ))
 def parse_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -94,17 +97,50 @@ def parse_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT (SELECT count(*) FROM concept) AS items, (SELECT count(*) FROM ({_LABELS}) WHERE label_en IS NOT NULL) AS labels_en,
+SELECT (SELECT count(*) FROM concept) + 3 AS source_records, (SELECT count(*) FROM concept) AS items, CAST(1 AS BIGINT) AS non_items,
+  CAST(4 AS BIGINT) AS malformed, CAST(1 AS BIGINT) AS missing, (SELECT count(*) FROM ({_LABELS}) WHERE label_en IS NOT NULL) AS labels_en,
   (SELECT count(*) FROM ({_LABELS}) WHERE label_nb IS NOT NULL) AS labels_nb, (SELECT count(*) FROM ({_ALIASES}) WHERE lang = 'en') AS aliases_en,
   (SELECT count(*) FROM ({_ALIASES}) WHERE lang = 'nb') AS aliases_nb, (SELECT count(*) FROM ({_CLAIMS}) WHERE property = 'P31') AS p31_pairs,
   (SELECT count(*) FROM ({_CLAIMS}) WHERE property = 'P279') AS p279_pairs""")
 def scan_totals(spark: SparkSession, d: str) -> DataFrame:
     """The totals of a scan in one aggregation."""
-    size = lambda c: F.sum(F.size(c)).cast("bigint")
-    return entities.items(_lines(spark, d)).agg(
-        F.count("*").alias("items"), F.count("label_en").alias("labels_en"), F.count("label_nb").alias("labels_nb"),
-        size("alias_en").alias("aliases_en"), size("alias_nb").alias("aliases_nb"), size("p31").alias("p31_pairs"), size("p279").alias("p279_pairs"),
-    )
+    return entities.totals(_lines(spark, d))
+
+
+@query(f"SELECT 'valid' AS state, {len(ODD)} + (SELECT count(*) FROM concept) AS n UNION ALL SELECT 'not_utf8', CAST(1 AS BIGINT)")
+def scan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the dump that are valid text, and those that are not."""
+    return _lines(spark, d).groupBy(F.when(F.col("value").isNull(), "not_utf8").otherwise("valid").alias("state")).agg(F.count("*").alias("n"))
+
+
+_LINE = "concat_ws(chr(9), CAST(item_id AS VARCHAR), split, coalesce(lang, ''), coalesce(passage, ''))"
+
+
+@query(f"SELECT CAST(sum(strlen({_LINE}) + 1) AS BIGINT) AS bytes, sha256(string_agg({_LINE} || chr(10), '' ORDER BY item_id)) AS sha256 FROM eval_item")
+def src_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Size and hash of a source file, here the evaluation items written as one text file."""
+    at = f"{Scratch(spark, 'identity').root}/items"
+    line = F.concat_ws("\t", F.col("item_id").cast("string"), "split", F.coalesce("lang", F.lit("")), F.coalesce("passage", F.lit("")))
+    table(spark, d, "eval_item").orderBy("item_id").select(line.alias("value")).coalesce(1).write.text(at)  # a fixed table of few rows
+    return entities.identity(spark, at).select("bytes", "sha256")
+
+
+@query(_ENDPOINTS)
+def t2_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The endpoints written to a flat file of ascending ids and read back."""
+    at = f"{Scratch(spark, 't2').root}/t2.bin"
+    binary.write_ids(tiers.endpoints(table(spark, d, "subclass_of")), "qid", at)
+    return binary.read_ids(spark, at)
+
+
+@query("\nUNION ALL\n".join(f"SELECT '{n}' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS problems FROM {n}" for n in RELATIONS))
+def package_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The relations published as a package, checked and listed by its manifest."""
+    at = f"{Scratch(spark, 'package').root}/catalogue"
+    said = packages.publish(spark, at, {n: table(spark, d, n) for n in RELATIONS})
+    wrong = packages.problems(spark, at)
+    rows = [(n, t["rows"], sum(p.startswith(f"{n}:") for p in wrong)) for n, t in said["tables"].items()]
+    return spark.createDataFrame(rows, "name string, rows bigint, problems bigint")
 
 
 def _parsed_once(spark: SparkSession, d: str) -> DataFrame:

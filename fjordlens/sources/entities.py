@@ -18,20 +18,33 @@ from fjordlens.plans.runtime import ship
 
 
 
-def lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """(value): the lines of text or gzip files that are valid UTF-8. A gzip file is one task, so rows are dealt out right
-    after reading."""
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of text or gzip files, null for a line that is not valid UTF-8. A gzip file cannot be split, so
+    where there are fewer files than cores the rows are dealt out right after reading."""
     ship(spark)
     raw = spark.read.text(path)
-    if tasks:
-        raw = raw.repartition(tasks)
-    return raw.where(F.is_valid_utf8("value"))
+    cores = spark.sparkContext.defaultParallelism
+    if raw.rdd.getNumPartitions() < cores:
+        raw = raw.repartition(2 * cores)
+    return raw.select(F.when(F.is_valid_utf8("value"), F.col("value")).alias("value"))
 
 
 def identity(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of each file, for files small enough to be one value."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of each file in a folder, or of one file: the hash of what is stored, taken while streaming through
+    it, in constant memory at any size."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    rows = []
+    for f in fs.listStatus(place):
+        name = f.getPath().getName()
+        if f.isFile() and not name.startswith(("_", ".")):
+            stream = fs.open(f.getPath())
+            try:
+                rows.append((f.getPath().toString(), f.getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "path string, bytes bigint, sha256 string")
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -57,7 +70,8 @@ def parsed(raw: DataFrame) -> DataFrame:
     qid = F.when((F.col("type") == "item") & F.col("id").rlike("^Q[1-9][0-9]*$"), F.expr("try_cast(substr(id, 2) as bigint)"))
     rows = rows.withColumn("qid", qid)
     outcome = (
-        F.when(~F.col("is_object"), "Ignore")
+        F.when(F.col("value").isNull(), "Malformed")  # not UTF-8
+        .when(~F.col("is_object"), "Ignore")
         .when(F.col("v").isNull(), "Malformed")
         .when(F.col("missing"), "Missing")
         .when(F.col("id").isNull(), "Malformed")
@@ -66,7 +80,7 @@ def parsed(raw: DataFrame) -> DataFrame:
         .otherwise("Malformed")
     )
     rows = rows.withColumn("outcome", outcome)
-    counted = (F.col("outcome") == "Malformed") & (F.col("v").isNull() | F.col("id").isNotNull())
+    counted = (F.col("outcome") == "Malformed") & F.col("value").isNotNull() & (F.col("v").isNull() | F.col("id").isNotNull())
     return rows.select("value", "v", "outcome", counted.alias("counted"), "qid")
 
 
@@ -105,36 +119,51 @@ def targets(prop: str) -> Column:
     return F.array_distinct(F.array_compact(ids))
 
 
-def items(raw: DataFrame) -> DataFrame:
-    """(qid, label_en, label_nb, alias_en, alias_nb, p31, p279) of each item line."""
-    rows = parsed(raw).where("outcome = 'Item'").select("qid", "v")
+def taken_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``parsed`` with label_en, label_nb, alias_en, alias_nb, p31 and p279 instead of v."""
     return _once(
         rows, label_en=label("en"), label_nb=label("nb"), alias_en=aliases("en"), alias_nb=aliases("nb"),
         p31=targets("P31"), p279=targets("P279"),
     ).drop("v")
 
 
+def items(raw: DataFrame) -> DataFrame:
+    """(qid, label_en, label_nb, alias_en, alias_nb, p31, p279) of each item line."""
+    return taken_apart(parsed(raw).where("outcome = 'Item'").select("qid", "v"))
+
+
+def totals(raw: DataFrame) -> DataFrame:
+    """The eleven totals of a scan in one pass. Items, non-items and counted malformed lines are source records."""
+    rows = taken_apart(parsed(raw).select("outcome", "counted", "v"))
+    item = F.col("outcome") == "Item"
+    of = lambda c: F.coalesce(F.sum(F.when(item, F.size(c))), F.lit(0)).cast("bigint")
+    return rows.agg(
+        F.count_if(item | (F.col("outcome") == "NonItem") | F.col("counted")).alias("source_records"), F.count_if(item).alias("items"),
+        F.count_if(F.col("outcome") == "NonItem").alias("non_items"), F.count_if(F.col("outcome") == "Malformed").alias("malformed"),
+        F.count_if(F.col("outcome") == "Missing").alias("missing"), F.count_if(item & F.col("label_en").isNotNull()).alias("labels_en"),
+        F.count_if(item & F.col("label_nb").isNotNull()).alias("labels_nb"), of("alias_en").alias("aliases_en"), of("alias_nb").alias("aliases_nb"),
+        of("p31").alias("p31_pairs"), of("p279").alias("p279_pairs"),
+    )
+
+
 def written(concept: DataFrame, lexical: DataFrame, instance: DataFrame, subclass: DataFrame) -> DataFrame:
-    """(value): an entity line for each concept, with its first label and its aliases in en and nb and its links."""
-    clean = lexical.where("Lang in ('en', 'nb')")
+    """(value): an entity line for each concept, with its texts in every language and its links. The format has one label a
+    language, so of several labels the smallest is written; a language code is written as it is, dirty ones too."""
+    texts = lexical.where("Lang is not null and Value is not null")
 
-    def per(kind: str, lang: str, name: str, how) -> DataFrame:
-        return clean.where((F.col("LexKind") == kind) & (F.col("Lang") == lang)).groupBy("Qid").agg(how("Value").alias(name))
+    def per(kind: str, name: str, how: Column) -> DataFrame:
+        one = texts.where(F.col("LexKind") == kind).groupBy("Qid", "Lang").agg(how.alias("x"))
+        return one.groupBy("Qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("Lang", "x")))).alias(name))  # a concept's languages
 
     def links(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(F.col("SubjectQid").alias("Qid")).agg(F.array_sort(F.collect_set("TargetQid")).alias(name))
 
     rows = concept.select("Qid")
-    sets = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  a concept's own texts and links
-    for part in (
-        per("label", "en", "le", F.min), per("label", "nb", "ln", F.min), per("alias", "en", "ae", sets),
-        per("alias", "nb", "an", sets), links(instance, "p31"), links(subclass, "p279"),
-    ):
+    label = F.struct(F.min("Value").alias("value"))
+    alias = F.transform(F.array_sort(F.collect_set("Value")), lambda x: F.struct(x.alias("value")))  # a concept's own texts
+    for part in (per("label", "labels", label), per("alias", "aliases", alias), links(instance, "p31"), links(subclass, "p279")):
         rows = rows.join(part, "Qid", "left")
 
-    def text(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value")))
-
     def claim(c: str) -> Column:
         return F.transform(
             c,
@@ -144,12 +173,7 @@ def written(concept: DataFrame, lexical: DataFrame, instance: DataFrame, subclas
             ).alias("mainsnak")),
         )
 
-    def texts(c: str) -> Column:
-        return F.transform(c, lambda x: F.struct(x.alias("value")))
-
     return rows.select(F.concat(F.to_json(F.struct(
-        F.lit("item").alias("type"), F.concat(F.lit("Q"), F.col("Qid")).alias("id"),
-        F.struct(text("le").alias("en"), text("ln").alias("nb")).alias("labels"),
-        F.struct(texts("ae").alias("en"), texts("an").alias("nb")).alias("aliases"),
+        F.lit("item").alias("type"), F.concat(F.lit("Q"), F.col("Qid")).alias("id"), "labels", "aliases",
         F.struct(claim("p31").alias("P31"), claim("p279").alias("P279")).alias("claims"),
     )), F.lit(",")).alias("value"))
