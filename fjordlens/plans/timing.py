@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordlens.functions import fixed
-from fjordlens.operators import hot_keys
+from fjordlens.operators import hot_keys, repetitions
 from fjordlens.plans import catalog
 from fjordlens.plans.runtime import Scratch
 from fjordlens.sources.tables import table
@@ -29,17 +29,19 @@ def query(sql: str | None = None):
 # A sample that is delivered again counts once: its first delivery.
 _FIRST = """
 s AS (SELECT * EXCLUDE (k), upper(Operation) AS op FROM (
-  SELECT *, row_number() OVER (PARTITION BY SampleId ORDER BY IngestedAt, FinishedAt) AS k FROM g1_timed_sample) WHERE k = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY SampleId ORDER BY IngestedAt, FinishedAt) AS k FROM g1_timed_sample) WHERE k = 1 OR SampleId IS NULL)"""
 _LIMIT = f"CASE WHEN op LIKE 'S%' THEN {fixed.LIMIT_POINT} WHEN op = 'G1' THEN {fixed.LIMIT_G1} ELSE {fixed.LIMIT_G2} END"
 _STATUS = f"""CASE WHEN CorrectnessStatus = 'ERROR' THEN 'ERROR' WHEN CorrectnessStatus = 'INVALID' THEN 'INVALID'
   WHEN NOT isnan(WallSeconds) AND WallSeconds >= {_LIMIT} THEN 'TIMEOUT' ELSE 'VALID' END"""
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Each sample once, its operation in one case (``op``)."""
+    """Each sample once, its operation in one case (``op``). Of deliveries of the same times the smallest row counts; rows without
+    an id are kept apart."""
     raw = table(spark, d, "g1_timed_sample")
     kept = ["IngestedAt", "FinishedAt", "RunId", "Repetition", "Operation", "Sequence", "Stratum", "WallSeconds", "CorrectnessStatus", "ActualCardinality", "ActualVisited", "ActualDigest"]
-    first = raw.groupBy("SampleId").agg(F.min_by(F.struct(*kept), F.struct("IngestedAt", "FinishedAt")).alias("s"))
+    lone = F.when(F.col("SampleId").isNull(), F.monotonically_increasing_id())
+    first = raw.groupBy("SampleId", lone.alias("_lone")).agg(F.min(F.struct(*kept)).alias("s"))
     return first.select("SampleId", "s.*").withColumn("op", F.upper("Operation"))
 
 
@@ -140,6 +142,60 @@ def rep_readiness(spark: SparkSession, d: str) -> DataFrame:
     return got.join(need, ["operation", "stratum"], "left").select("operation", "stratum", "run_id", "repetition", "sequences", F.array_join(why, ",").alias("reasons"))
 
 
+# ---- three repetitions of a campaign ----
+_CAMPAIGN = f"""
+WITH {_FIRST},
+need AS (SELECT Op AS operation, Stratum AS stratum, count(DISTINCT Seq) AS expected FROM graph_probe WHERE Measured AND Stratum IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT regexp_replace(RunId, '-[0-9]+$', '') AS campaign, Repetition AS repetition, op AS operation, Stratum AS stratum, Sequence, {_STATUS} AS st FROM s),
+runs AS (SELECT DISTINCT campaign, repetition FROM x),
+grid AS (SELECT c.campaign, r.repetition, need.* FROM (SELECT DISTINCT campaign FROM runs) c, (VALUES (1), (2), (3)) r(repetition), need),
+got AS (SELECT campaign, repetition, operation, stratum, count(*) AS observed, count(DISTINCT Sequence) AS sequences, count(*) FILTER (WHERE st = 'VALID') AS valid,
+  count(*) FILTER (WHERE st = 'INVALID') AS invalid, count(*) FILTER (WHERE st = 'TIMEOUT') AS timeout, count(*) FILTER (WHERE st = 'ERROR') AS error FROM x GROUP BY 1, 2, 3, 4),
+j AS (SELECT g.*, runs.campaign IS NOT NULL AS attempted, coalesce(sequences, 0) AS sequences, coalesce(observed, 0) AS observed, coalesce(valid, 0) AS valid,
+  coalesce(invalid, 0) AS invalid, coalesce(timeout, 0) AS timeout, coalesce(error, 0) AS error
+  FROM grid g LEFT JOIN runs ON runs.campaign = g.campaign AND runs.repetition = g.repetition
+  LEFT JOIN got ON got.campaign = g.campaign AND got.repetition = g.repetition AND got.operation = g.operation AND got.stratum = g.stratum),
+summary AS (SELECT campaign, operation, stratum, repetition, expected, observed, valid, invalid, timeout, error, array_to_string(list_filter([
+    CASE WHEN attempted AND sequences < expected THEN 'MeasuredSequenceIncomplete' END, CASE WHEN attempted AND observed <> expected THEN 'MissingSamples' END,
+    CASE WHEN invalid > 0 THEN 'InvalidSample' END, CASE WHEN timeout > 0 THEN 'TimeoutSample' END, CASE WHEN error > 0 THEN 'ErrorSample' END,
+    CASE WHEN NOT attempted THEN 'NotAttemptedDueToHalt' END], lambda y: y IS NOT NULL), ',') AS reasons FROM j)"""
+
+
+def _campaigns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The summaries of every campaign (runs named alike but for their last number), and what was asked for. The table says nothing
+    about evidence, artifacts, processes and envelopes, so they count as good."""
+    probes = table(spark, d, "graph_probe").where("Measured and Stratum is not null")
+    expected = probes.groupBy(F.col("Op").alias("operation"), F.col("Stratum").alias("stratum")).agg(F.countDistinct("Seq").alias("expected"))
+    rows = Scratch(spark, "campaigns").cut(samples(spark, d).select(
+        F.regexp_replace("RunId", "-[0-9]+$", "").alias("campaign"), F.col("Repetition").alias("repetition"), F.col("op").alias("operation"),
+        F.col("Stratum").alias("stratum"), F.col("Sequence").alias("sequence"), status().alias("status"), F.col("WallSeconds").alias("seconds"),
+    ))
+    good = [F.lit(True).alias(c) for c in ("evidence", "artifacts", "process")]
+    runs = rows.select("campaign", "repetition").distinct().select("campaign", "repetition", *good, F.lit("VALID").alias("envelope"))
+    return repetitions.summaries(rows, expected, runs), expected
+
+
+@query(f"{_CAMPAIGN} SELECT *, reasons = '' AS complete FROM summary")
+def rep_status(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and reasons of every repetition of every campaign, for every group of probes that was asked for."""
+    return _campaigns(spark, d)[0].drop(*repetitions.FIGURES)
+
+
+@query(f"""
+{_CAMPAIGN} SELECT campaign, operation, stratum, max(expected) AS expected, count(*) FILTER (WHERE reasons = '') AS valid_repetitions,
+  coalesce(string_agg(CAST(repetition AS VARCHAR), ',' ORDER BY repetition) FILTER (WHERE reasons <> ''), '') AS incomplete, bool_and(reasons = '') AS ready
+FROM summary GROUP BY 1, 2, 3""")
+def cross_status(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the three repetitions of a campaign can be compared."""
+    return repetitions.cross(_campaigns(spark, d)[0]).drop(*repetitions.FIGURES)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS problems")
+def cross_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of the matrix of summaries: none, as the summaries are made from what was asked for."""
+    return repetitions.problems(*_campaigns(spark, d)).agg(F.count("*").alias("problems"))
+
+
 @query(f"""
 WITH {_FIRST},
 g AS ({catalog.SQL['g1_summary']}),
