@@ -120,7 +120,7 @@ FROM (
 GROUP BY op, seq"""
 
 
-@query(f"""
+_SERVING = f"""
 {_LISTS}
 UNION ALL
 SELECT 'S1', p.seq, CAST((c.Qid IS NOT NULL) AS BIGINT), CASE WHEN c.Qid IS NULL
@@ -129,11 +129,12 @@ SELECT 'S1', p.seq, CAST((c.Qid IS NOT NULL) AS BIGINT), CASE WHEN c.Qid IS NULL
 FROM {_probes('S1')} p LEFT JOIN concept c ON c.Qid = p.qid
 UNION ALL
 SELECT 'S2', p.seq, 0, sha256(unhex({d64('0')} || {dtext('p.lang')} || {dtext('p.value')}))
-FROM {_probes('S2')} p WHERE NOT EXISTS (SELECT 1 FROM lexical_entry l WHERE l.Lang = p.lang AND l.Value = p.value)""")
-def serving_digests(spark: SparkSession, d: str) -> DataFrame:
-    """The expected cardinality and digest of every lookup probe."""
-    probe = table(spark, d, "serving_probe")
-    lexical = table(spark, d, "lexical_entry")
+FROM {_probes('S2')} p WHERE NOT EXISTS (SELECT 1 FROM lexical_entry l WHERE l.Lang = p.lang AND l.Value = p.value)"""
+
+
+def results(probe: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(op, seq, cardinality, digest) of every lookup probe (Op, Seq, Qid, Lang, Value) over the four relations."""
+    lexical = tables["lexical_entry"]
     none = F.lit("")
     s3 = lookups.lexical_of(lookups.probes(probe, "S3"), lexical).select(
         F.lit("S3").alias("op"), "seq", canon.ordinal("lang").alias("o1"), canon.ordinal("lex_kind").alias("o2"), canon.ordinal("value").alias("o3"),
@@ -146,7 +147,7 @@ def serving_digests(spark: SparkSession, d: str) -> DataFrame:
     )
 
     def edges(op: str, name: str) -> DataFrame:
-        found = lookups.targets_of(lookups.probes(probe, op), table(spark, d, name))
+        found = lookups.targets_of(lookups.probes(probe, op), tables[name])
         return found.select(
             F.lit(op).alias("op"), "seq", canon.ordinal(canon.be64("target")).alias("o1"), canon.ordinal(none).alias("o2"), canon.ordinal(none).alias("o3"),
             F.concat(canon.be64(F.lit(0)), canon.be64("target")).alias("hexed"),
@@ -154,7 +155,7 @@ def serving_digests(spark: SparkSession, d: str) -> DataFrame:
 
     lists = s3.unionByName(hit2).unionByName(edges("S4", "instance_of")).unionByName(edges("S5", "subclass_of"))
     out = lookups.list_digests(lists, ["op", "seq"], ["o1", "o2", "o3"])
-    s1 = lookups.concept_lookup(lookups.probes(probe, "S1"), table(spark, d, "concept")).select(
+    s1 = lookups.concept_lookup(lookups.probes(probe, "S1"), tables["concept"]).select(
         F.lit("S1").alias("op"), "seq", F.col("present").cast("bigint").alias("cardinality"),
         F.when(F.col("present"), canon.digest(F.concat(canon.be64(F.lit(1)), canon.be32(F.lit(10)), canon.be64("qid"), canon.flag("in_t1"), canon.flag("in_t2"))))
         .otherwise(canon.digest(F.concat(canon.be64(F.lit(0)), canon.be64("qid")))).alias("digest"),
@@ -166,6 +167,61 @@ def serving_digests(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(s1).unionByName(miss2)
 
 
+RELATIONS = ("concept", "lexical_entry", "instance_of", "subclass_of")
+
+
+def relations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {n: table(spark, d, n) for n in RELATIONS}
+
+
+def candidate(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The second system: its copy of three relations, and subclass_of, which it does not copy."""
+    copy = table(spark, d, "candidate_row")
+    part = lambda n, *c: copy.where(F.col("Relation") == n).select("RowId", *c)
+    return {
+        "concept": part("concept", "Qid", "InT1", "InT2"), "lexical_entry": part("lexical_entry", "Qid", "Lang", "LexKind", "Value"),
+        "instance_of": part("instance_of", "SubjectQid", "TargetQid"), "subclass_of": table(spark, d, "subclass_of"),
+    }
+
+
+def _of_candidate(sql: str) -> str:
+    """The same SQL over the copy: common table expressions take the names of the relations."""
+    return f"""WITH concept AS (SELECT RowId, Qid, InT1, InT2 FROM candidate_row WHERE Relation = 'concept'),
+lexical_entry AS (SELECT RowId, Qid, Lang, LexKind, Value FROM candidate_row WHERE Relation = 'lexical_entry'),
+instance_of AS (SELECT RowId, SubjectQid, TargetQid FROM candidate_row WHERE Relation = 'instance_of')
+SELECT * FROM ({sql})"""
+
+
+def verdicts(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., verdict): VALID if cardinality and digest are equal, INVALID if not, ERROR where one side lacks the key or an
+    actual result has no digest."""
+    a = actual.select(*keys, F.col("cardinality").alias("_c"), F.col("digest").alias("_d"), F.lit(True).alias("_a"))
+    e = expected.select(*keys, "cardinality", "digest", F.lit(True).alias("_e"))
+    equal = (F.col("_c") == F.col("cardinality")) & (F.col("_d") == F.col("digest"))
+    verdict = F.when(F.col("_a").isNull() | F.col("_e").isNull() | F.col("_d").isNull(), "ERROR").when(equal, "VALID").otherwise("INVALID")
+    return a.join(e, keys, "full").select(*keys, verdict.alias("verdict"))
+
+
+def _verdict_sql(actual: str, expected: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, CASE WHEN a.digest IS NULL OR e.digest IS NULL THEN 'ERROR' WHEN a.cardinality = e.cardinality AND a.digest = e.digest THEN 'VALID' ELSE 'INVALID' END AS verdict
+FROM ({actual}) a FULL JOIN ({expected}) e USING ({keys})"""
+
+
+@query(_SERVING)
+def serving_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The expected cardinality and digest of every lookup probe."""
+    return results(table(spark, d, "serving_probe"), relations(spark, d))
+
+
+@query(f"SELECT op, verdict, count(*) AS n FROM ({_verdict_sql(_of_candidate(_SERVING), _SERVING, 'op, seq')}) GROUP BY 1, 2")
+def serving_check(spark: SparkSession, d: str) -> DataFrame:
+    """The lookups of the second system against the expected results, by operation and verdict."""
+    probe = table(spark, d, "serving_probe")
+    out = verdicts(results(probe, candidate(spark, d)), results(probe, relations(spark, d)), ["op", "seq"])
+    return out.groupBy("op", "verdict").agg(F.count("*").alias("n"))
+
+
 # ---- traversals ----
 _EDGES = "SELECT DISTINCT SubjectQid AS node, TargetQid AS parent FROM subclass_of"
 _WALK = f"""
@@ -380,7 +436,11 @@ def a1_subclass_of(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT Lang AS lang, LexKind AS lex_kind, count(*) AS n FROM lexical_entry GROUP BY 1, 2")
 def a2_lang_kind(spark: SparkSession, d: str) -> DataFrame:
     """Lexical rows by language and kind."""
-    return table(spark, d, "lexical_entry").groupBy(F.col("Lang").alias("lang"), F.col("LexKind").alias("lex_kind")).agg(F.count("*").alias("n"))
+    return _lang_kind(table(spark, d, "lexical_entry"))
+
+
+def _lang_kind(lexical: DataFrame) -> DataFrame:
+    return lexical.groupBy(F.col("Lang").alias("lang"), F.col("LexKind").alias("lex_kind")).agg(F.count("*").alias("n"))
 
 
 def _fanout(df: DataFrame) -> DataFrame:
@@ -409,11 +469,15 @@ LEFT JOIN (SELECT Qid, min(Value) FILTER (WHERE Lang = 'en') AS en_label, min(Va
 @query(_A5)
 def a5_p31_labels(spark: SparkSession, d: str) -> DataFrame:
     """Links per instance-of target with its English and Norwegian label, null where there is none."""
+    return _labelled(table(spark, d, "instance_of"), table(spark, d, "lexical_entry"))
+
+
+def _labelled(instance: DataFrame, lexical: DataFrame) -> DataFrame:
     labels = (
-        table(spark, d, "lexical_entry").where("LexKind = 'label' and Lang in ('en', 'nb')").groupBy(F.col("Qid").alias("target"))
+        lexical.where("LexKind = 'label' and Lang in ('en', 'nb')").groupBy(F.col("Qid").alias("target"))
         .agg(F.min(F.when(F.col("Lang") == "en", F.col("Value"))).alias("en_label"), F.min(F.when(F.col("Lang") == "nb", F.col("Value"))).alias("nb_label"))
     )
-    return _fanout(table(spark, d, "instance_of")).join(labels, "target", "left")
+    return _fanout(instance).join(labels, "target", "left")
 
 
 def _dmaybe(x: str) -> str:
@@ -424,20 +488,22 @@ def _sorted_sql(op: str, row: str, order: str, source: str) -> str:
     return f"SELECT '{op}' AS op, count(*) AS cardinality, {dsized('count(*)', f'''string_agg({row}, '' ORDER BY {order})''')} AS digest FROM ({source})"
 
 
-@query("\nUNION ALL\n".join([
+_ANALYTICAL = "\nUNION ALL\n".join([
     _sorted_sql("A2", f"{dtext('lang')} || {dtext('lex_kind')} || {d64('n')}", "lang, lex_kind", SQL["a2_lang_kind"]),
     _sorted_sql("A3", f"{d64('target')} || {d64('fanout')}", "target", SQL["a3_p31_fanout"]),
     _sorted_sql("A4", f"{d64('target')} || {d64('fanout')}", "target", SQL["a4_p279_fanout"]),
     _sorted_sql("A5", f"{d64('target')} || {d64('fanout')} || {_dmaybe('en_label')} || {_dmaybe('nb_label')}", "target", _A5),
-]))
-def analytical_digests(spark: SparkSession, d: str) -> DataFrame:
-    """The digest of each aggregate in its order."""
+])
+
+
+def aggregates(tables: dict[str, DataFrame]) -> DataFrame:
+    """(op, cardinality, digest) of A2 to A5 over the four relations."""
     edge = F.concat(canon.be64("target"), canon.be64("fanout"))
     parts = {
-        "A2": (a2_lang_kind(spark, d), [canon.ordinal("lang"), canon.ordinal("lex_kind")], F.concat(canon.text("lang"), canon.text("lex_kind"), canon.be64("n"))),
-        "A3": (a3_p31_fanout(spark, d), [F.col("target")], edge),
-        "A4": (a4_p279_fanout(spark, d), [F.col("target")], edge),
-        "A5": (a5_p31_labels(spark, d), [F.col("target")], F.concat(edge, canon.maybe_text("en_label"), canon.maybe_text("nb_label"))),
+        "A2": (_lang_kind(tables["lexical_entry"]), [canon.ordinal("lang"), canon.ordinal("lex_kind")], F.concat(canon.text("lang"), canon.text("lex_kind"), canon.be64("n"))),
+        "A3": (_fanout(tables["instance_of"]), [F.col("target")], edge),
+        "A4": (_fanout(tables["subclass_of"]), [F.col("target")], edge),
+        "A5": (_labelled(tables["instance_of"], tables["lexical_entry"]), [F.col("target")], F.concat(edge, canon.maybe_text("en_label"), canon.maybe_text("nb_label"))),
     }
     head = F.concat(canon.be64("n"), canon.be32("bytes"))
     out = [
@@ -445,3 +511,15 @@ def analytical_digests(spark: SparkSession, d: str) -> DataFrame:
         for op, (df, order, row) in parts.items()
     ]
     return reduce(DataFrame.unionByName, out)
+
+
+@query(_ANALYTICAL)
+def analytical_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each aggregate in its order."""
+    return aggregates(relations(spark, d))
+
+
+@query(_verdict_sql(_of_candidate(_ANALYTICAL), _ANALYTICAL, "op"))
+def analytical_check(spark: SparkSession, d: str) -> DataFrame:
+    """The aggregates of the second system against the expected ones."""
+    return verdicts(aggregates(candidate(spark, d)), aggregates(relations(spark, d)), ["op"])
