@@ -8,6 +8,7 @@ that exists is never overwritten. Works on any file system of the session.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,26 +71,51 @@ def problems(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
-def anchors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(set, qid) and the cases (id, category, language, term, status, qid) of an anchor file, which is one JSON object."""
-    raw = spark.read.json(path, multiLine=True)
-    names = raw.schema["sets"].dataType.fieldNames()
-    number = lambda c: F.substring(c, 2, 20).cast("bigint")
-    sets = raw.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"sets.{n}").alias("ids")) for n in names))).alias("s"))
-    sets = sets.select(F.col("s.name").alias("set"), F.explode("s.ids").alias("q")).select("set", number("q").alias("qid"))
-    cases = raw.select(F.explode("goldCases").alias("c")).select("c.*")
-    return sets, cases.withColumn("qid", number("qid")) if "qid" in cases.columns else cases
-
-
-def anchor_coverage(sets: DataFrame, concept: DataFrame) -> DataFrame:
-    """(set, members, present) per named set."""
-    known = concept.select(F.col("Qid").alias("qid"), F.lit(True).alias("here"))
-    return sets.join(known, "qid", "left").groupBy("set").agg(F.count("*").alias("members"), F.count("here").alias("present"))
-
-
-def surface_outcomes(cases: DataFrame, lexical: DataFrame) -> DataFrame:
-    """(id, outcome) per case: whether its term in its language belongs to its concept, to others only, or to none."""
-    hits = lexical.select(F.col("Lang").alias("language"), F.col("Value").alias("term"), F.col("Qid").alias("found")).distinct()
-    return cases.join(hits, ["language", "term"], "left").groupBy("id").agg(
-        F.when(F.bool_or(F.col("found") == F.col("qid")), "resolved").when(F.count("found") > 0, "other").otherwise("absent").alias("outcome")
-    )
+SET_NAMES = ("resolvedGold", "goldUnion", "ambiguousCand")  # fixed names of the format
+
+
+class AnchorError(ValueError):
+    pass
+
+
+def anchors(
+    spark: SparkSession, path: str, sources: dict[str, str] | None = None, sizes: dict[str, int] | None = None, n_cases: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(set, qid) and the cases (id, category, language, term, name_type, status, qid, candidates) of an anchor file: one small
+    JSON object, so it is read and checked on the driver. Unknown or missing fields, ids that are no Q ids and sets or cases
+    that occur twice are errors; so are other sources (path to hash), sizes of sets and numbers of cases than those asked for."""
+    raw = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    if not isinstance(raw, dict) or raw.keys() != {"schema", "phase0_commit", "sources", "sets", "goldCases"}:
+        raise AnchorError("fields of the file")
+    if missing := [n for n in SET_NAMES if n not in raw["sets"]]:
+        raise AnchorError(f"missing sets: {missing}")
+
+    def number(q: str) -> int:
+        if not isinstance(q, str) or not re.fullmatch(r"Q[1-9][0-9]*", q):
+            raise AnchorError(f"no Q id: {q}")
+        return int(q[1:])
+
+    members = []
+    for name, ids in raw["sets"].items():
+        if len(set(ids)) != len(ids):
+            raise AnchorError(f"{name}: an id occurs twice")
+        members += [(name, number(q)) for q in ids]
+    cases = []
+    for c in raw["goldCases"]:
+        if extra := c.keys() - {"id", "category", "language", "term", "nameType", "status", "qid", "candidateQids", "evidenceClass"}:
+            raise AnchorError(f"unknown fields of a case: {sorted(extra)}")
+        found = c.get("candidateQids")
+        cases.append((
+            str(c["id"]), c["category"], c["language"], c["term"], c.get("nameType"), c["status"], number(c["qid"]) if c.get("qid") else None,
+            None if found is None else [number(q) for q in found],
+        ))
+    if len({c[0] for c in cases}) != len(cases):
+        raise AnchorError("a case occurs twice")
+    if sources and not sources.items() <= {(x["path"], x["sha256"]) for x in raw["sources"]}:
+        raise AnchorError("provenance")
+    if sizes and {n: len(ids) for n, ids in raw["sets"].items()} != sizes or n_cases is not None and len(cases) != n_cases:
+        raise AnchorError("number of members or cases")
+    return spark.createDataFrame(members, "set string, qid bigint"), spark.createDataFrame(cases, CASES)
+
+
+CASES = "id string, category string, language string, term string, name_type string, status string, qid bigint, candidates array<bigint>"

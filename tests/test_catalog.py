@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from fjordlens.functions import canon
-from fjordlens.operators import multiset_fold, tiers, traversal
+from fjordlens.operators import anchors, multiset_fold, tiers, traversal
 from fjordlens.sources import entities, packages
 
 CONCEPT = "Qid bigint, InT1 boolean, InT2 boolean"
@@ -110,11 +112,47 @@ def test_packages(spark, tmp_path):
     assert packages.problems(spark, at) == ["t: rows", "t: digest"]
 
 
+def anchor_file(**change):
+    case = {"category": "c", "language": "en", "term": "L5", "status": "resolved", "nameType": "CanonicalLabel", "evidenceClass": "x"}
+    cases = [
+        case | {"id": "label", "qid": "Q5"}, case | {"id": "alias", "qid": "Q5", "nameType": "WikidataAlias", "term": "A5"}, case | {"id": "other kind", "qid": "Q5", "nameType": "WikidataAlias"},
+        case | {"id": "gone", "qid": "Q6"}, case | {"id": "exonym", "qid": "Q5", "nameType": "Exonym"}, case | {"id": "other language", "qid": "Q5", "language": "nb"},
+        case | {"id": "two", "status": "ambiguous", "candidateQids": ["Q5", "Q8", "Q6"]}, case | {"id": "no qid"},
+    ]
+    out = {"schema": "s", "phase0_commit": "c", "sources": [{"path": "p", "sha256": "h"}], "sets": {"resolvedGold": ["Q5", "Q6"], "goldUnion": ["Q8"], "ambiguousCand": []}, "goldCases": cases}
+    return json.dumps(out | change)
+
+
 def test_anchors(spark, tmp_path):
     f = tmp_path / "a.json"
-    f.write_text('{"sets":{"gold":["Q5","Q6"],"other":["Q7"]},"goldCases":[{"id":"c1","language":"en","term":"L5","qid":"Q5"},{"id":"c2","language":"nb","term":"zz","qid":"Q6"}]}')
-    sets, cases = packages.anchors(spark, f"file://{f}")
-    concept = spark.createDataFrame([(5, True, False)], CONCEPT)
-    assert {r.set: (r.members, r.present) for r in packages.anchor_coverage(sets, concept).collect()} == {"gold": (2, 1), "other": (1, 0)}
-    lexical = spark.createDataFrame([(5, "en", "L5")], "Qid bigint, Lang string, Value string")
-    assert {r.id: r.outcome for r in packages.surface_outcomes(cases, lexical).collect()} == {"c1": "resolved", "c2": "absent"}
+    f.write_text(anchor_file())
+    sets, cases = packages.anchors(spark, f"file://{f}", {"p": "h"}, {"resolvedGold": 2, "goldUnion": 1, "ambiguousCand": 0}, 8)
+    concept = spark.createDataFrame([(5, True, True), (8, False, True)], CONCEPT)
+    lexical = spark.createDataFrame([(5, "en", "label", "L5"), (5, "en", "label", "L5"), (5, "en", "alias", "A5"), (8, "en", "alias", "L5")], "Qid bigint, Lang string, LexKind string, Value string")
+    got = {r.set: tuple(r)[1:] for r in anchors.coverage(sets, concept).collect()}
+    assert got == {"resolvedGold": (2, 1, 1, 1, 0, 1, 1), "goldUnion": (1, 0, 1, 0, 1, 1, 0)}
+    present = "concept_present_surface_absent"
+    assert {r.id: r.outcome for r in anchors.surfaces(cases, concept, lexical).collect()} == {
+        "label": "concept_present_label_surface", "alias": "concept_present_alias_surface", "other kind": present, "gone": "concept_absent",
+        "exonym": "not_applicable_to_baseline_lexical_corpus", "other language": present,
+    }
+    assert [tuple(r) for r in anchors.ambiguous(cases, concept, lexical).collect()] == [("two", 3, 2, 2)]
+    assert {r.figure: r.n for r in anchors.continuity(sets, cases, concept, lexical).collect()} == {
+        "resolvedGoldPresent": 1, "goldUnionPresent": 1, "ambiguousCandPresent": 0, "lexicalSurfacePresent": 7, "ambiguousMultiPresent": 1,
+    }
+
+
+@pytest.mark.parametrize("change", [{"more": 1}, {"sets": {"resolvedGold": []}}, {"sets": {"resolvedGold": ["Q5", "Q5"], "goldUnion": [], "ambiguousCand": []}}, {"sets": {"resolvedGold": ["5"], "goldUnion": [], "ambiguousCand": []}}, {"goldCases": [{"id": 1, "x": 2}]}])
+def test_bad_anchors(spark, tmp_path, change):
+    f = tmp_path / "a.json"
+    f.write_text(anchor_file(**change))
+    with pytest.raises(packages.AnchorError):
+        packages.anchors(spark, f"file://{f}")
+
+
+def test_anchors_that_were_not_asked_for(spark, tmp_path):
+    f = tmp_path / "a.json"
+    f.write_text(anchor_file())
+    for how in ({"sources": {"p": "other"}}, {"sizes": {"resolvedGold": 2}}, {"n_cases": 3}):
+        with pytest.raises(packages.AnchorError):
+            packages.anchors(spark, f"file://{f}", **how)
