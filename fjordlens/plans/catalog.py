@@ -249,7 +249,8 @@ def g1_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return traversal.ancestry(_starts(spark, d), _edges(spark, d)).withColumnRenamed("seed", "start")
 
 
-def _g1_summary(spark: SparkSession, d: str, starts: DataFrame, guard: int) -> DataFrame:
+def g1_results(spark: SparkSession, d: str, starts: DataFrame, guard: int) -> DataFrame:
+    """(start, cardinality, visited, exceeded, digest) of each seed of ``starts``."""
     met = traversal.ancestry(starts, _edges(spark, d))
     sizes = starts.join(met.groupBy("seed").agg(F.count("*").alias("n")), "seed", "left").select("seed", F.coalesce("n", F.lit(0)).alias("n"))
     over = F.col("n") + 1 > guard
@@ -280,19 +281,22 @@ SELECT seed AS start, CASE WHEN n + 1 <= {guard} THEN n END AS cardinality, leas
 @query(_g1_summary_sql(fixed.VISITED_GUARD))
 def g1_summary(spark: SparkSession, d: str) -> DataFrame:
     """Cardinality, visited nodes and digest of each start's ancestry under the guard."""
-    return _g1_summary(spark, d, _starts(spark, d), fixed.VISITED_GUARD)
+    return g1_results(spark, d, _starts(spark, d), fixed.VISITED_GUARD)
 
 
 @query(_g1_summary_sql(12))
 def g1_guarded(spark: SparkSession, d: str) -> DataFrame:
     """The same under a guard of 12, which some starts exceed."""
-    return _g1_summary(spark, d, _starts(spark, d), 12)
+    return g1_results(spark, d, _starts(spark, d), 12)
 
 
-def _g2(spark: SparkSession, d: str, guard: int = fixed.VISITED_GUARD) -> tuple[DataFrame, DataFrame]:
+def _g2_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "serving_probe").where("Op = 'S4' and Qid is not null").select(F.col("Qid").alias("input")).distinct()
+
+
+def _g2(spark: SparkSession, d: str, inputs: DataFrame, guard: int = fixed.VISITED_GUARD) -> tuple[DataFrame, DataFrame]:
     """(input, exceeded) of each input, exceeded if the ancestry of one of its targets goes beyond the guard; and
     (input, node) of those that don't: targets and their ancestry."""
-    inputs = table(spark, d, "serving_probe").where("Op = 'S4' and Qid is not null").select(F.col("Qid").alias("input")).distinct()
     direct = inputs.join(table(spark, d, "instance_of").select(F.col("SubjectQid").alias("input"), F.col("TargetQid").alias("seed")), "input").distinct()
     met = traversal.ancestry(direct.select("seed"), _edges(spark, d))
     over = met.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") + 1 > guard).select("seed")
@@ -319,20 +323,22 @@ listed AS (SELECT i.input, i.input IN (SELECT input FROM bad) AS exceeded, count
 @query(f"{_g2_sql()} SELECT input AS qid, node FROM found")
 def g2_structural(spark: SparkSession, d: str) -> DataFrame:
     """For each input concept its instance-of targets and their ancestry; nothing for inputs beyond the guard."""
-    return _g2(spark, d)[1].withColumnRenamed("input", "qid")
+    return _g2(spark, d, _g2_inputs(spark, d))[1].withColumnRenamed("input", "qid")
 
 
-def _g2_listed(spark: SparkSession, d: str, guard: int = fixed.VISITED_GUARD) -> DataFrame:
+def _g2_listed(spark: SparkSession, d: str, inputs: DataFrame, guard: int = fixed.VISITED_GUARD) -> DataFrame:
     """(input, exceeded, cardinality, hexed): lists are bounded, as every target's ancestry is within the guard."""
-    judged, found = _g2(spark, d, guard)
+    judged, found = _g2(spark, d, inputs, guard)
     listed = traversal.ordered_list(judged.where("not exceeded").join(found, "input", "left"), "input", "node")
     return judged.join(listed, "input", "left")
 
 
-def _g2_summary(spark: SparkSession, d: str, guard: int) -> DataFrame:
+def g2_results(spark: SparkSession, d: str, inputs: DataFrame, guard: int) -> DataFrame:
+    """(qid, cardinality, digest, error, hexed) of each ``input``."""
     over = F.col("exceeded")
-    return _g2_listed(spark, d, guard).select(
+    return _g2_listed(spark, d, inputs, guard).select(
         F.col("input").alias("qid"),
+        "hexed",
         F.when(~over, F.col("cardinality")).alias("cardinality"),
         F.when(~over, canon.digest(F.concat(canon.be64("cardinality"), "hexed"))).alias("digest"),
         F.when(over, F.lit(f"guard exceeded ({guard}) during G2 ancestry")).alias("error"),
@@ -348,13 +354,13 @@ def _g2_summary_sql(guard: int) -> str:
 @query(_g2_summary_sql(fixed.VISITED_GUARD))
 def g2_summary(spark: SparkSession, d: str) -> DataFrame:
     """Cardinality and digest of each input's structural set, or its error."""
-    return _g2_summary(spark, d, fixed.VISITED_GUARD)
+    return g2_results(spark, d, _g2_inputs(spark, d), fixed.VISITED_GUARD).drop("hexed")
 
 
 @query(_g2_summary_sql(12))
 def g2_guarded(spark: SparkSession, d: str) -> DataFrame:
     """The same under a guard of 12, which some inputs exceed."""
-    return _g2_summary(spark, d, 12)
+    return g2_results(spark, d, _g2_inputs(spark, d), 12).drop("hexed")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +393,7 @@ def stream_digest(rows: DataFrame, order: list, hexed: Column, head: Column | No
 FROM listed""")
 def g2_batch_digest(spark: SparkSession, d: str) -> DataFrame:
     """The digest of the whole batch of inputs in order; none, and ERROR, if an input has an error."""
-    listed = Scratch(spark, "g2").cut(_g2_listed(spark, d))
+    listed = Scratch(spark, "g2").cut(_g2_listed(spark, d, _g2_inputs(spark, d)))
     digest = stream_digest(listed, [F.col("input")], F.concat(canon.be64("input"), canon.be64(F.coalesce("cardinality", F.lit(0))), F.coalesce("hexed", F.lit(""))))
     bad = listed.agg(F.coalesce(F.bool_or("exceeded"), F.lit(False)).alias("bad"))
     return digest.withColumn("bad", bad.scalar()).select(
