@@ -223,16 +223,15 @@ def canonical(df: DataFrame, columns: dict[str, str], looks: Looks, counts: dict
 
 def lookalike_pairs(df: DataFrame, row: str, within: str, columns: list[str], scratch) -> DataFrame:
     """(row_id_1, row_id_2): pairs of rows with the same ``within`` whose canonical columns ``c_<column>`` are all
-    equal while some column is not. Only groups with more than one spelling are joined; rows with a null in
+    equal while some column is not. Forms are made once and kept as a table. Groups with more than one spelling are found by
+    hashes of 64 bits, so that only numbers are shuffled; equality within them is of the texts. Rows with a null in
     ``within`` or a column are in no pair."""
     forms = [f"c_{c}" for c in columns]
-    ready = df.select(row, within, *columns, *forms).dropna()
+    ready = scratch.cut(df.select(row, within, *columns, *forms).dropna().withColumn("_look", F.xxhash64(*forms)))
+    written = F.xxhash64(*columns)
+    groups = ready.groupBy(within, "_look").agg(F.min(written).alias("lo"), F.max(written).alias("hi")).where("lo <> hi")
+    odd = scratch.cut(ready.join(scratch.cut(groups.select(within, "_look")), [within, "_look"], "left_semi"))
     spelled = F.struct(*columns)
-    groups = (
-        ready.groupBy(within, *forms).agg(F.min(spelled).alias("lo"), F.max(spelled).alias("hi")).where("lo <> hi")
-        .select(within, *forms)
-    )
-    odd = scratch.cut(ready.join(groups, [within, *forms], "left_semi"))
     a = odd.select(within, *forms, F.col(row).alias("row_id_1"), spelled.alias("s1"))
     b = odd.select(within, *forms, F.col(row).alias("row_id_2"), spelled.alias("s2"))
     return a.join(b, [within, *forms]).where("row_id_1 < row_id_2 and s1 <> s2").select("row_id_1", "row_id_2")

@@ -161,6 +161,30 @@ def p7_forms(spark: SparkSession, d: str) -> DataFrame:
     return _canonical(spark, d).select("RowId", F.col("c_Lang").alias("lang"), F.col("c_Value").alias("value"))
 
 
+# The same forms in SQL, for the characters that occur in the tables. Letters that look like a Latin one, and it.
+FOREIGN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοАВЕКМНОРСТХаеорсухіѕјԁ‐‑"
+LATIN = "ABEZHIKMNOPTYXvoABEKMHOPCTXaeopcyxisjd--"
+NUMERALS = {"Ⅷ": "VIII", "Ⅶ": "VII", "Ⅲ": "III", "Ⅱ": "II", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅸ": "IX", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X"}
+
+
+def _form_sql(column: str) -> str:
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    out = f"regexp_replace({column}, '[\u00AD\u200B-\u200F\u2060\uFEFF]', '', 'g')"
+    out = f"regexp_replace({out}, '[\u00A0\u2000-\u200A\u202F\u205F\u3000]', ' ', 'g')"
+    out = f"translate(translate(translate({out}, '{wide}', '{narrow}'), '{FOREIGN}', '{LATIN}'), 'K', 'K')"
+    for one, many in NUMERALS.items():
+        out = f"replace({out}, '{one}', '{many}')"
+    return f"trim(nfc_normalize({out}), ' ')"
+
+
+SQL["p7_forms"] = f"SELECT RowId, {_form_sql('Lang')} AS lang, {_form_sql('Value')} AS value FROM lexical_entry"
+SQL["p7_found"] = f"""
+WITH f AS (SELECT RowId, Qid, Lang, Value, {_form_sql('Lang')} AS l, {_form_sql('Value')} AS v FROM lexical_entry)
+SELECT a.RowId AS row_id_1, b.RowId AS row_id_2 FROM f a JOIN f b ON a.Qid = b.Qid AND a.l = b.l AND a.v = b.v AND a.RowId < b.RowId
+WHERE a.Lang <> b.Lang OR a.Value <> b.Value"""
+
+
 def p8_regions(spark: SparkSession, d: str) -> DataFrame:
     """Each document and passage that share a stretch as long as 13 words with at most two edits."""
     found = contamination.regions(
