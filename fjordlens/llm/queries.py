@@ -222,18 +222,60 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: one row per emitted copy of a document."""
-    counted = _counted(spark, d, Scratch(spark, "p9"))
-    return mixing.mixed(counted, mixing.rates(counted, table(spark, d, "mix_target")), "doc_id")
+    scratch = Scratch(spark, "p9")
+    counted = _counted(spark, d, scratch)
+    rated = scratch.cut(mixing.rates(counted, table(spark, d, "mix_target")))  # a table, so that the planner knows how small it is
+    return mixing.mixed(counted, rated, "doc_id")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each named source."""
     scratch = Scratch(spark, "p9")
     counted = _counted(spark, d, scratch)
-    rated = mixing.rates(counted, table(spark, d, "mix_target"))
+    rated = scratch.cut(mixing.rates(counted, table(spark, d, "mix_target")))
     return mixing.shares(scratch.cut(mixing.mixed(counted, rated, "doc_id")), rated)
 
 
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Per named source its documents and how many of them are used other than floor(rate) or one more times, or more often than
+    ``max_repeats``; and whether the tokens reached are within a document's chance of what the rate asks for."""
+    scratch = Scratch(spark, "p9")
+    counted = _counted(spark, d, scratch)
+    rated = scratch.cut(mixing.rates(counted, table(spark, d, "mix_target")))
+    used = scratch.cut(mixing.mixed(counted, rated, "doc_id")).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    each = counted.where("source is not null").join(used, "doc_id", "left").join(rated.select("source", "rate", "max_repeats"), "source")
+    copies = F.coalesce("copies", F.lit(0))
+    wrong = (copies < F.floor("rate")) | (copies > F.floor("rate") + 1) | (copies > F.coalesce("max_repeats", copies))
+    # the variance of the last copies: p (1 - p) tokens^2
+    part = F.col("rate") - F.floor("rate")
+    by = each.where("tokens > 0").groupBy("source").agg(
+        F.count_if(wrong).alias("wrong"), F.sum(F.col("tokens") * copies).alias("got"), F.sum(F.col("tokens") * F.col("rate")).alias("asked"),
+        F.sqrt(F.sum(F.col("tokens") * F.col("tokens") * part * (1 - part))).alias("sd"),
+    )
+    near = F.abs(F.col("got") - F.col("asked")) <= 5 * F.col("sd") + 1
+    return rated.join(by, "source", "left").select("source", "documents", F.coalesce("wrong", F.lit(0)).alias("wrong"), F.coalesce(near, F.lit(True)).alias("near"))
+
+
+SQL["p9_rules"] = """
+SELECT t.source, count(d.source) AS documents, CAST(0 AS BIGINT) AS wrong, TRUE AS near FROM mix_target t LEFT JOIN documents d ON d.source = t.source GROUP BY 1"""
+
+
+def p10_common(spark: SparkSession, d: str) -> DataFrame:
+    """The common words of each language, as learned from all documents."""
+    docs = table(spark, d, "documents").withColumn("lang", text_quality.language("lang"))
+    usage = text_quality.learn(docs, "text", Scratch(spark, "p10"))
+    return spark.createDataFrame([(lang, w) for w, langs in usage.words.items() for lang in langs], "lang string, word string")
+
+
+SQL["p10_common"] = f"""
+WITH d AS (SELECT CASE split_part(replace(lower(trim(coalesce(lang, ''))), '_', '-'), '-', 1) WHEN 'eng' THEN 'en' WHEN 'no' THEN 'nb' WHEN 'nor' THEN 'nb' WHEN 'nob' THEN 'nb' WHEN 'nn' THEN 'nb'
+    ELSE split_part(replace(lower(trim(coalesce(lang, ''))), '_', '-'), '-', 1) END AS lang, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w
+  FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')),
+n AS (SELECT lang, count(*) + {text_quality.PRIOR} AS n FROM d GROUP BY 1),
+c AS (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY 1, 2)
+SELECT c.lang, word FROM c JOIN n ON n.lang = c.lang WHERE k >= {text_quality.COMMON_SHARE} * n.n"""
+
+
 def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "p10")
     docs = table(spark, d, "documents").withColumn("lang", text_quality.language("lang"))
@@ -256,5 +298,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p3_bounds, p6_percentiles, p6_bounds, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares, p10_found, p10_stats)
+    for f in (p2_probe_sample, p3_found, p3_top50, p3_estimates, p3_bounds, p6_percentiles, p6_bounds, p7_found, p7_forms, p8_found, p8_regions, p9_found, p9_mix, p9_shares, p9_rules, p10_found, p10_stats, p10_common)
 }
