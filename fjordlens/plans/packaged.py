@@ -63,16 +63,18 @@ def write_package(spark: SparkSession, d: str, c: Contract, at: str) -> None:
         F.lit("G2").alias("op"), F.lit(n1).alias("seq"), F.lit("Batch").alias("kind"), F.lit(True).alias("measured"), F.col("n").alias("cardinality"), "digest"
     )
     parts = [found, g1_found, per_input, whole]
-    records.write(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), f"{at}/expected", records.EXPECTED, ["op", "seq", "item"])
+    # written as tables first: sorting by ranges reads its input twice
+    records.write(scratch.cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)), f"{at}/expected", records.EXPECTED, ["op", "seq", "item"])
     folds = [multiset_fold.fold(table(spark, d, n), row()).select(F.lit(op).alias("op"), F.col("rows").alias("cardinality"), "digest") for op, (n, row) in FOLDS.items()]
     analytical = reduce(DataFrame.unionByName, [*folds, catalog.aggregates(catalog.relations(spark, d))])
-    records.write(analytical, f"{at}/analytical", records.ANALYTICAL, ["op"])
+    records.write(scratch.cut(analytical), f"{at}/analytical", records.ANALYTICAL, ["op"])
 
 
 def judge(spark: SparkSession, at: str, c: Contract) -> DataFrame:
     """(gate, ok) of a package: every gate of counts, keys and places. Unreadable records fail the first one."""
+    scratch = Scratch(spark, "judge")
     serving, graph, expected, analytical = (
-        records.read(spark, f"{at}/{n}", f)
+        scratch.cut(records.read(spark, f"{at}/{n}", f))
         for n, f in (("serving", records.PROBE), ("graph", records.GRAPH_PROBE), ("expected", records.EXPECTED), ("analytical", records.ANALYTICAL))
     )
     ok = {"records_read": not any(map(records.problems, (serving, graph, expected, analytical)))}
