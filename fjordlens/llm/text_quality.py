@@ -215,11 +215,20 @@ def language(column: str) -> Column:
     return F.when(first == "eng", "en").when(first.isin("no", "nor", "nob", "nn"), "nb").otherwise(first)
 
 
+#: the least that a side can be, where a share has one: there its tail is 1, whatever the corpus
+LEAST = {"symbol_ratio+": 0.0, "digit_ratio+": 0.0, "common_ratio+": 0.0, "odd_pair_ratio+": 0.0, "line_end_ratio-": -1.0, "common_ratio-": -1.0, "sentence_ratio-": -1.0}
+
+
 def oddities(stats: DataFrame, key: str) -> DataFrame:
-    """(key, lang, stat, value) for each side of a statistic, high where extreme; ``stat`` is its place in WEIGHTS."""
-    turned = [F.col(side[:-1]) if side[-1] == "+" else -F.col(side[:-1]) for side in WEIGHTS]
-    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("stat"), v.alias("value")) for i, v in enumerate(turned)))
-    return stats.where("words is not null").select(key, "lang", F.explode(pairs).alias("_p")).select(key, "lang", "_p.stat", "_p.value")
+    """(key, lang, stat, value) for each side of a statistic, high where extreme; ``stat`` is its place in WEIGHTS. Rows at the
+    least that a share can be are left out: they add nothing to a score, and ranks are counted from above."""
+    pairs = []
+    for i, side in enumerate(WEIGHTS):
+        value = F.col(side[:-1]) if side[-1] == "+" else -F.col(side[:-1])
+        pair = F.struct(F.lit(i).cast("tinyint").alias("stat"), value.alias("value"))
+        pairs.append(F.when(value > LEAST[side], pair) if side in LEAST else pair)
+    made = F.explode(F.array_compact(F.array(*pairs)))
+    return stats.where("words is not null").select(key, "lang", made.alias("_p")).select(key, "lang", "_p.stat", "_p.value")
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +256,9 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def tail_probabilities(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+def tail_probabilities(rows: DataFrame, key: str, scratch: Scratch, documents: DataFrame | None = None) -> DataFrame:
     """``rows`` (key, lang, stat, value) with ``tail``: the exact share of the rows of its lang and stat with a value of
-    at least its own. Group sizes are a table of their own, whose size decides whether the planner broadcasts it; where it
+    at least its own. Where rows of lowest value were left out, ``documents`` (lang, size) says how many there are. Group sizes are a table of their own, whose size decides whether the planner broadcasts it; where it
     does not, AQE splits a hot group."""
     order = ["stat", "lang", "value", key]
     kind = dict(rows.dtypes)[key]
@@ -275,14 +284,15 @@ def tail_probabilities(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame
         group_from = group_from if r["grp"] == 0 else offset + r["grp"]
         offset, before = offset + r["n"], last
     starts = laid.sparkSession.createDataFrame(fixed, "part int, off bigint, tie0 bigint, grp0 bigint")
-    sizes = scratch.cut(laid.groupBy("stat", "lang").agg(F.count("*").alias("size")))
+    sizes = laid.groupBy("stat", "lang").agg(F.count("*").alias("kept"))
+    sizes = scratch.cut(sizes.withColumn("size", F.col("kept")) if documents is None else sizes.join(documents, "lang"))
     tie = F.when(F.col("tie") == 0, F.col("tie0")).otherwise(F.col("off") + F.col("tie"))
     group = F.when(F.col("grp") == 0, F.col("grp0")).otherwise(F.col("off") + F.col("grp"))
     return (
         laid.join(F.broadcast(starts), "part")  # one row per range
         .withColumn("below", tie - group)
         .join(sizes, ["stat", "lang"])
-        .select(key, "lang", "stat", "value", (1 - F.col("below") / F.col("size")).alias("tail"))
+        .select(key, "lang", "stat", "value", ((F.col("kept") - F.col("below")) / F.col("size")).alias("tail"))
     )
 
 
@@ -290,8 +300,10 @@ def scored(stats: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(key, score): the weighted sum of -ln(tail) over the sides of WEIGHTS, among the documents of its language or among all,
     whichever is larger: a group of few or mostly odd documents does not hide its members."""
     rows = oddities(stats, key)
-    tails = tail_probabilities(rows.unionByName(rows.withColumn("lang", F.lit(EVERY))), key, scratch)
+    size = stats.where("words is not null").groupBy("lang").agg(F.count("*").alias("size"))
+    every = size.agg(F.sum("size").alias("size")).select(F.lit(EVERY).alias("lang"), "size")
+    tails = tail_probabilities(rows.unionByName(rows.withColumn("lang", F.lit(EVERY))), key, scratch, size.unionByName(every))
     weight = reduce(lambda e, x: e.when(F.col("stat") == x[0], x[1]), list(enumerate(WEIGHTS.values()))[1:], F.when(F.col("stat") == 0, list(WEIGHTS.values())[0]))
     part = weight * F.least(-F.ln("tail"), F.lit(CAP))
-    two = tails.groupBy(key, (F.col("lang") == EVERY).alias("of_all")).agg((F.avg(part) * len(WEIGHTS)).alias("score"))
+    two = tails.groupBy(key, (F.col("lang") == EVERY).alias("of_all")).agg((F.sum(part) / F.count_if(F.col("stat") == 0)).alias("score"))
     return two.groupBy(key).agg(F.max("score").alias("score"))

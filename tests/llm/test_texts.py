@@ -255,6 +255,17 @@ def test_tails_against_brute_force(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_rows_of_the_least_value_are_not_needed(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["en", "nb"]), 0, max(0.0, r.random() - 0.6)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc bigint, lang string, stat int, value double").withColumn("stat", F.col("stat").cast("tinyint"))
+    size = df.groupBy("lang").agg(F.count("*").alias("size"))
+    whole = {t.doc: t.tail for t in text_quality.tail_probabilities(df, "doc", Scratch(spark, "t")).collect()}
+    part = {t.doc: t.tail for t in text_quality.tail_probabilities(df.where("value > 0"), "doc", Scratch(spark, "t"), size).collect()}
+    assert 0 < len(part) < 300 and all(abs(whole[d] - t) < 1e-12 for d, t in part.items())
+    assert all(abs(t - 1) < 1e-12 for d, t in whole.items() if d not in part)
+
+
 def test_odd_documents(spark):
     rows = [(1, "en", PROSE[0]), (2, None, None), (3, "EN-gb", " \n "), (4, "no", JUNK[0]), (4, "no", JUNK[0]), (5, "eng", "x" * 500_000), (6, "en", "​"), (None, "en", PROSE[1])]
     df = spark.createDataFrame(rows, "doc bigint, lang string, text string").withColumn("lang", text_quality.language("lang"))
