@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import pkgutil
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ class Contract:
     concept_miss_domain: str
     lexical_miss_domain: str
     miss_language: str
+    image: bytes
 
     def needs(self, *operations: str) -> dict[str, int | None]:
         """Probes of each stratum of these operations by name; None where all eligible ones are taken."""
@@ -121,7 +123,38 @@ def parse(text: str) -> Contract:
     if len(dict(g2)) != len(g2):
         raise ContractError("a G2 stratum occurs twice")
     domains = (raw[k] for k in ("selectionDomain", "conceptMissDomain", "lexicalMissDomain", "missLanguage"))
-    return Contract(strata, tail, g2, raw["maxDepth"], raw["visitedNodeGuard"], limits, *domains)
+    return Contract(strata, tail, g2, raw["maxDepth"], raw["visitedNodeGuard"], limits, *domains, _image(raw, strata, tail, g2))
+
+
+def _coded(*values: str | int | bool | bytes) -> bytes:
+    """Values one after the other: texts and bytes with their length in four bytes, numbers in eight, flags in one."""
+    out = b""
+    for v in values:
+        if isinstance(v, bool):
+            out += bytes([v])
+        elif isinstance(v, int):
+            out += v.to_bytes(8, "big", signed=True)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += len(v).to_bytes(4, "big") + v
+    return out
+
+
+def _image(raw: dict, strata: tuple[Stratum, ...], tail: tuple[Stratum, ...], g2: tuple[tuple[str, int], ...]) -> bytes:
+    """What a contract says, in bytes, however its file is laid out: its plain values in the order of the format, then the
+    strata; -1 stands for what a stratum does not have."""
+    names = [WORDS[0], *NUMBERS[:4], *WORDS[1:], "reportP999", "fullPassWarmup", *NUMBERS[4:]]
+    out = _coded(*(raw[n] for n in names))
+    for s in strata + tail:
+        low, high = s.fanout or (None, None)
+        out += _coded(s.operation, s.stratum, s.mode, s.count, *(-1 if x is None else x for x in (low, high, s.expected)))
+    return out + b"".join(_coded(*x) for x in g2)
+
+
+def identity(contract: Contract, corpus_id: str, artifacts: dict[str, str], fixture_sha256: str) -> str:
+    """The id of a workload: a hash of the contract's image, the corpus, its artifacts (name to hash) by name, and the anchors."""
+    parts = [contract.image, corpus_id, *(x for pair in sorted(artifacts.items()) for x in pair), fixture_sha256]
+    return hashlib.sha256(_coded(*parts)).hexdigest()
 
 
 def _contiguous(strata: list[Stratum]) -> None:

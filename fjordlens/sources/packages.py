@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fjordlens.functions import canon
 from fjordlens.operators import multiset_fold
+from fjordlens.sources import evidence
 
 
 def _fs(spark: SparkSession, path: str):
@@ -71,6 +72,21 @@ def problems(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
+def preflight(spark: SparkSession, package: str, runs: list[str] = ()) -> list[str]:
+    """Why the inputs of a build cannot be used: a package that lacks, is not complete or has changed, or evidence that has; an
+    empty list lets it go ahead. Nothing is raised."""
+    fs, place = _fs(spark, package)
+    if not fs.exists(place):
+        return [f"not found: {package}"]
+    out = []
+    for name, check in [(package, problems), *((r, evidence.problems) for r in runs)]:
+        try:
+            out += [f"{name}: {p}" for p in check(spark, name)]
+        except Exception as e:  # noqa: BLE001  a missing or broken list is a reason like others
+            out.append(f"{name}: {type(e).__name__}")
+    return out
+
+
 SET_NAMES = ("resolvedGold", "goldUnion", "ambiguousCand")  # fixed names of the format
 
 

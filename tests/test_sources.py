@@ -1,10 +1,12 @@
 import gzip
+import hashlib
 import json
+import struct
 
 import numpy as np
 import pytest
 
-from fjordlens.sources import binary, contracts
+from fjordlens.sources import binary, contracts, evidence, packages
 
 
 def contract(**change):
@@ -25,6 +27,30 @@ def test_contract():
     assert contracts.verdict(c, {"S1/A": 4, "S2/B": 3}) == ("HOLD", ["S1/A: 4 eligible, 5 needed", "S2/B: 3 eligible, 2 expected"])
 
 
+def test_identity():
+    """The image does not depend on the layout of the file, and the id on the order of the artifacts."""
+    c, again = contracts.parse(contract()), contracts.parse(json.dumps(dict(reversed(json.loads(contract()).items())), indent=3))
+    text = lambda x: struct.pack(">i", len(x)) + x.encode()
+    assert c.image == again.image and c.image.startswith(text("x") + struct.pack(">4q", 1, 1, 1, 1) + text("x") * 4 + text("raw-exact-lang-value"))
+    assert c.image.endswith(text("S2") + text("B") + text("all-eligible") + struct.pack(">4q", 2, 1, -1, 2) + text("P") + struct.pack(">q", 1) + text("Q") + struct.pack(">q", 2))
+    want = hashlib.sha256(struct.pack(">i", len(c.image)) + c.image + b"".join(map(text, ("corpus", "a", "1", "b", "2", "f")))).hexdigest()
+    assert contracts.identity(c, "corpus", {"b": "2", "a": "1"}, "f") == contracts.identity(c, "corpus", {"a": "1", "b": "2"}, "f") == want
+    assert contracts.parse(contract(maxDepth=4)).image != c.image
+
+
+def test_preflight(spark, tmp_path):
+    at, run = f"file://{tmp_path}/pack", f"file://{tmp_path}/run"
+    assert packages.preflight(spark, at) == [f"not found: {at}"]
+    packages.publish(spark, at, {"t": spark.range(3).toDF("id")})
+    stage = evidence.stage(spark, run, {k: "x" for k in evidence.IDENTITY})
+    evidence.finalize(spark, stage, [])
+    evidence.promote(spark, stage, run)
+    assert packages.preflight(spark, at, [run]) == []
+    (tmp_path / "run" / "more").write_text("x")
+    spark.range(4).toDF("id").write.mode("overwrite").parquet(f"{at}/t")
+    assert packages.preflight(spark, at, [run, f"{run}2"]) == [f"{at}: t: rows", f"{at}: t: digest", f"{run}: more: more", f"{run}2: EvidenceError"]
+
+
 BAD = {
     "unknown": contract(more=1),
     "type": contract(maxDepth="3"),
