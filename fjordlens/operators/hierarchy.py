@@ -32,13 +32,14 @@ def links(df: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-def ancestor_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def ancestor_pairs(edges: DataFrame, scratch: Scratch, settle: bool = True) -> DataFrame:
     """(node, ancestor, steps): the fewest upward links, 1 or more; (x, x) says that x reaches itself.
 
     ``edges`` is (node, parent), distinct. The rounds are the logarithm of the longest distance; a round writes the
     pairs of the nodes that still go on and shuffles them by (node, ancestor), which no single key dominates. The join on
     the middle node is left to AQE, which splits a node that holds many pairs. After each round a node that has nothing
-    exactly k links away, and is not itself k links away from a node, is final: its pairs are set aside.
+    exactly k links away, and is not itself k links away from a node, is final: its pairs are set aside. Without ``settle``
+    they are carried along, which saves jobs where most nodes go on to the end, as in a peeled core.
     """
     work = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     done, k = [], 1
@@ -52,9 +53,13 @@ def ancestor_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
         k *= 2
         # a node with something 2k away, and the nodes k away from it, have something k away or are that themselves
         far = grown.where(F.col("steps") == k)
-        alive = scratch.cut(far.select("node").union(far.select("ancestor")).distinct())
-        if alive.isEmpty():  # nothing lies exactly k apart, so nothing further
+        if far.isEmpty():  # nothing lies exactly k apart, so nothing further
             return reduce(DataFrame.unionByName, [*done, grown])
+        if not settle:
+            scratch.drop(work)
+            work = grown
+            continue
+        alive = scratch.cut(far.select("node").union(far.select("ancestor")).distinct())
         done.append(grown.join(alive, "node", "left_anti").select("node", "ancestor", "steps"))
         work = grown.join(alive, "node", "left_semi").select("node", "ancestor", "steps")
 
@@ -101,7 +106,7 @@ def reached_cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Closed sets lie in the peeled core; its ancestor pairs give them and the core's distances. The levels taken off at the
     lower end are gone back over, the last one first: a node's distance is one more than its nearest parent's."""
     core, levels = peel(edges, scratch)
-    pairs = scratch.cut(ancestor_pairs(core, scratch))
+    pairs = ancestor_pairs(core, scratch, settle=False)
     sets = scratch.cut(closed_sets(pairs))
     up = pairs.join(sets.withColumnRenamed("node", "ancestor"), "ancestor").select("node", "cycle", "steps")
     own = sets.select("node", "cycle", F.lit(0).alias("steps"))
